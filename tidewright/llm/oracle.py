@@ -11,6 +11,42 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+#: Rank, draw and targets in the same steps and the same double arithmetic as the operator.
+OP9 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth, 3 * source_size AS ceiling FROM sources
+), shares AS (
+  SELECT *, CAST([5, 2, 1][nth % 3 + 1] AS BIGINT) AS weight FROM weighed
+), levels AS (
+  SELECT *,
+    CAST((SELECT sum(source_size) FROM sources) - sum(ceiling) OVER (ORDER BY ceiling / weight, nth ROWS UNBOUNDED PRECEDING) + ceiling AS BIGINT)
+      / CAST(sum(weight) OVER (ORDER BY ceiling / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+  FROM shares
+), goals AS (
+  SELECT source, source_size,
+    CASE WHEN ceiling <= level * weight THEN CAST(ceiling AS DOUBLE)
+         ELSE (SELECT max(level) FROM levels WHERE NOT ceiling <= level * weight) * weight END AS target
+  FROM levels
+), planned AS (
+  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, least(coalesce(g.target / nullif(g.source_size, 0), 0), 3) AS expected,
+    (CAST('0x' || substr(md5('mix|' || d.doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+), ranked AS (
+  SELECT *, floor(expected) AS certain, expected - floor(expected) AS chance, target - floor(expected) * source_size AS rest FROM planned
+), drawn AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u / (1 - u) / (chance / (1 - chance)), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM ranked WHERE chance > 0 AND size > 0
+)
+SELECT doc_id, size, source_size, target, CAST((certain + CAST(upto - size / 2 <= rest AS BIGINT)) * size AS BIGINT) AS taken FROM drawn
+UNION ALL
+SELECT doc_id, size, source_size, target, CAST(certain * size AS BIGINT) FROM ranked WHERE NOT (chance > 0 AND size > 0)
+"""
+
 SQL: dict[str, str] = {
     "op2_exact_dedup": OP2,
+    "op9_mixing": OP9,
 }
