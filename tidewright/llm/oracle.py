@@ -46,7 +46,38 @@ UNION ALL
 SELECT doc_id, size, source_size, target, CAST(certain * size AS BIGINT) FROM ranked WHERE NOT (chance > 0 AND size > 0)
 """
 
+#: Every run of words of a window's length in a document, held against every window.
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), lengths AS (
+  SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0
+), starts AS (
+  SELECT item, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM lengths
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM starts
+), places AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), runs AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM places
+), hits AS (
+  SELECT doc_id, i, r.n, item FROM runs r JOIN windows USING (n, k)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_exact_dedup": OP2,
     "op9_mixing": OP9,
+    "op10_decontaminate": OP10,
 }
