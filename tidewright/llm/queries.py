@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from .exact_dedup import exact_groups
 from .mixing import mixed
 from .shared import table
 from .simhash import near_duplicates
+from .token_store import stored_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -43,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_tokens": op6_tokens,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
