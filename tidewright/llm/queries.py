@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits
 from .exact_dedup import exact_groups
+from .language import fit_languages, held_out, language_mixtures
 from .mixing import mixed
 from .shared import table
 from .simhash import near_duplicates
@@ -18,6 +19,13 @@ from .token_store import stored_tokens
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages = fit_languages(docs.where(~held_out(F.col("doc_id"))))
+    found = language_mixtures(docs, languages)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -49,6 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_tokens": op6_tokens,
     "op8_simhash": op8_simhash,

@@ -1,8 +1,8 @@
-"""Texts of an Arrow batch, a bounded number of characters at a time, and 64-bit hashes of their words."""
+"""Texts of an Arrow batch, a bounded number of characters at a time, and what is known of each of their words."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +64,47 @@ def gram_hashes(words: np.ndarray, k: int, starts: np.ndarray | None = None) ->
         for j in range(1, k):
             out = out * base + words[starts + j]
     return mix64(out + np.uint64(k))
+
+
+#: For bytes of lower-cased text: letters a-z and all bytes from 0x80 on stay, other ASCII becomes a space.
+LETTER_BYTES = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
+
+
+def letter_words(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters (anything beyond ASCII counts as a letter), in UTF-8."""
+    return text.lower().encode().translate(LETTER_BYTES).split() if text else []
+
+
+class WordRows:
+    """A row of numbers for each word, computed once per distinct word of a worker.
+
+    compute: gives the rows of a list of words.  When the table is full, what is frequent was met early and stays; the
+    new words of a piece are dropped after it.
+    """
+
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], most: int = CACHE) -> None:
+        self.compute, self.most = compute, most
+        self.place: dict[bytes, int] = {}
+        self.rows = compute([b"a"])[:0]
+        self.known = 0
+
+    def __call__(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words of the lists one after another, and how many words each list has."""
+        words = [w for x in lists for w in x]
+        new = list(set(words).difference(self.place))
+        before = self.known
+        if new:
+            self.known += len(new)
+            if self.known > len(self.rows):
+                grown = np.empty((max(2 * len(self.rows), self.known), self.rows.shape[1]), self.rows.dtype)
+                grown[:before] = self.rows[:before]
+                self.rows = grown
+            self.rows[before : self.known] = self.compute(new)
+            self.place.update(zip(new, range(before, self.known), strict=True))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        out = self.rows[at]
+        if self.known > self.most:
+            for w in new:
+                del self.place[w]
+            self.known = before
+        return out, np.fromiter(map(len, lists), np.int64, len(lists))
