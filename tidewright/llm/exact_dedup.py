@@ -1,7 +1,7 @@
 """Exact deduplication by sorting content.
 
-Normalised texts are range-partitioned by sampled splitters (``repartitionByRange``), each range is sorted
-externally, and equal neighbours -- compared in full, byte by byte -- form a group.  The group's smallest or largest
+Normalised texts are range-partitioned by sampled splitters (``repartitionByRange`` on their first characters, then a
+hash of the whole), each range is sorted externally, and equal neighbours -- compared in full, byte by byte -- form a group.  The group's smallest or largest
 identifier stays.
 
 Skew: a text whose copies would fill a noticeable part of a partition is salted by its identifier, so its copies are
@@ -18,6 +18,8 @@ from .shared import ascii_lower, shuffle_partitions, written
 
 #: A text is hot if its copies make more than 1 / SHARES of an even partition; there are at most SHARES hot texts per partition.
 SHARES = 4
+#: Characters by which ranges are cut; texts that share them are cut by a hash, and are still compared in full.
+HEAD = 32
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -41,20 +43,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.count()
     hot = counts.where(F.col("n") > max(1, total // (SHARES * parts))).select("hint", F.lit(True).alias("hot"))
 
+    # Equal texts have equal heads and hints, so these few bytes can stand for a text in the splitters that are sampled.
     salted = (
         docs.withColumn("hint", hint)
         .join(F.broadcast(hot), "hint", "left")
         .select(
             "id",
+            "hint",
             ascii_lower(F.col("text")).alias("norm"),
             F.col("hot").isNotNull().alias("hot"),
             F.when(F.col("hot"), F.coalesce(F.pmod(F.xxhash64("id"), F.lit(parts)), F.lit(0))).otherwise(0).alias("salt"),
         )
     )
     first = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
-    same = Window.partitionBy("norm", "salt")
+    same = Window.partitionBy("head", "hint", "salt", "norm")
     best = F.min if keep == "min" else F.max
-    ranged = salted.repartitionByRange("norm", "salt")
+    ranged = salted.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange("head", "hint", "salt")
     found = ranged.select(
         "id",
         "hot",
