@@ -15,6 +15,7 @@ from .mixing import mixed
 from .shared import table
 from .simhash import near_duplicates
 from .token_store import stored_tokens
+from .toxicity import fit_toxicity, toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = ~held_out(F.col("doc_id"))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(known), fit_languages(docs.where(known)))
+    return toxicity_scores(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return found.withColumnRenamed("id", "doc_id")
@@ -59,6 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_tokens": op6_tokens,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
