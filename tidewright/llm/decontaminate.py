@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .words import WordHashes, gram_hashes, pieces
+from .words import WordHashes, gram_hashes, kept_rows, pieces
 
 WINDOW = 10
 GRAM = 5
@@ -248,7 +248,21 @@ def united(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The rows of ``docs`` that share no window with the benchmark; identifiers are taken to be unique here."""
-    bad = benchmark_hits(docs, benchmark, id_col, **names).where("n_hit > 0").select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs`` that share no window with the benchmark, with all their columns: each block is a filter, one after another."""
+    for block in blocks(benchmark, item_col, item_text_col, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make_judge(sent=sent):
+            hashes = WordHashes()
+            return lambda texts: np.array([not spans for _, spans, _ in search(texts, sent.value, hashes)], bool)
+
+        docs = kept_rows(docs, text_col, make_judge)
+    return docs

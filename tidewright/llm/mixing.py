@@ -124,3 +124,9 @@ def mixed(
             ((F.col("certain") + F.col("extra")) * F.col("size")).alias("taken"),
         )
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (not at all, or up to ``repeats`` times); identifiers are taken to be unique."""
+    copies = mixed(docs, id_col, **names).where("copies > 0").select(F.col(id_col).alias("__id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__copies"))
+    return docs.join(copies, docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode("__copies")).select(*docs.columns)

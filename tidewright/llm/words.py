@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Characters that a task handles at once; one longer text makes a piece of its own.
 PIECE_CHARS = 4_000_000
@@ -29,6 +30,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int, most: int = PIECE_CH
             yield batch.slice(start), texts[start:]
 
 
+def kept_rows(docs: DataFrame, text_col: str, make_judge: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, whole, for whose text the judge (made once in each task) says True."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make_judge()
+        for piece, texts in pieces(batches, at):
+            yield piece.filter(pa.array(judge(texts), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 class WordHashes(dict):
     """XXH64 of a word, remembered."""
 
