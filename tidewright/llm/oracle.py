@@ -11,6 +11,40 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+OP3 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+    length('<|im_start|>') + length(role) + length(regexp_replace(role, '[^%
+]', '', 'g')) * 2 + len(regexp_extract_all(role, '<\\*\|')) + 1
+      + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_end|>') + 1 AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(length(learnt)) AS BIGINT) AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+#: base32 of the SHA-1, 5 hexadecimal digits (4 letters) at a time.
+OP7 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM m
+"""
+
 #: Rank, draw and targets in the same steps and the same double arithmetic as the operator.
 OP9 = r"""
 WITH sized AS (
@@ -78,6 +112,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": OP2,
+    "op3_chat": OP3,
+    "op7_warc": OP7,
     "op9_mixing": OP9,
     "op10_decontaminate": OP10,
 }
