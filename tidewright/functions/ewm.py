@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 try:
     from pyspark.sql.internal import InternalFunction
@@ -31,7 +32,7 @@ def recursive_mean(value: Column, alpha: float, order: WindowSpec) -> Column:
 
 def recursive_means_in_pandas(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float, out: str) -> DataFrame:
     """df with the mean as a further column, each series in one pandas frame."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def smooth(frame):
         frame = frame.sort_values(order, kind="stable")

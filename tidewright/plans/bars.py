@@ -30,7 +30,7 @@ def brand_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjusted(price: Column, date: Column) -> Column:
     """A stand-in for adjustment: a factor that steps with the year."""
-    return price * (F.year(date).cast("double") / 2000.0)
+    return price * (F.year(date).cast("double") / 1999.0)
 
 
 def bars_of(trades: DataFrame) -> DataFrame:
