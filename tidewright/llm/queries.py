@@ -13,6 +13,7 @@ from .decontaminate import benchmark_hits
 from .exact_dedup import exact_groups
 from .language import fit_languages, held_out, language_mixtures
 from .mixing import mixed
+from .passages import repeated_passages
 from .shared import new_folder, table
 from .simhash import near_duplicates
 from .token_store import stored_tokens
@@ -50,6 +51,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return found.withColumnRenamed("id", "doc_id")
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat": op3_chat,
     "op4_toxicity": op4_toxicity,
+    "op5_passages": op5_passages,
     "op6_tokens": op6_tokens,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
