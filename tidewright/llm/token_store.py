@@ -18,7 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .files import open_file, write_once
 from .shared import new_folder, written
-from .words import CACHE, pieces
+from .words import pieces
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -40,9 +40,12 @@ HAS_CHECKSUMS = 0x80
 FRAME_IDS = 65_536
 LEVEL = 3
 
-#: Chunks of letters that the tokenizer sees as one word (U+00C0 to U+024F without the two signs among them), and a stop or comma after one.
+#: Lower-case letters that the tokenizer surely sees as one word: a-z, and U+00C0 to U+024F without the two signs among them.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
-END = re.compile(rb"(?<=[A-Za-z])[.,]\Z")
+#: Bytes: 1 a letter a-z, 2 a stop or comma, 3 white space, 0 others.
+KINDS = np.array([1 if 0x61 <= b <= 0x7A else 2 if b in b".," else 3 if b == 0x20 or 9 <= b <= 13 else 0 for b in range(256)], np.uint8)
+#: Chunks whose ids a worker remembers.
+TOKEN_CACHE = 600_000
 
 INDEX = np.dtype([("id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("start", "<u4"), ("count", "<u4")])
 
@@ -51,7 +54,7 @@ class ChunkTokens:
     """Ids of texts by the tokenizers library.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks between
-    ASCII white space, one after another.  Chunks repeat; each is encoded by the library once and remembered.
+    white space, one after another.  Chunks repeat; each is encoded by the library once and remembered.
     whole=True encodes whole texts instead, for tokenizers that keep white space.
     """
 
@@ -67,7 +70,6 @@ class ChunkTokens:
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
         self.known = self.used = 0
-        self.marks = {m.encode(): self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
 
     def _encode(self, chunks: list[bytes]) -> Iterator[list[int]]:
         """Ids of each chunk.  All are plain letters, or none are.  Plain letters go to the library together: each ends with the only id that ends a word."""
@@ -80,14 +82,11 @@ class ChunkTokens:
         return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        # A final stop or comma after a letter is a token of its own, and case is dropped by the tokenizer.
-        base = [(c[:-1] if END.search(c) else c).lower() if b"<|" not in c else c for c in chunks]
-        words = list(set(base))
         plain, other = [], []
-        for w in words:
-            (plain if LETTERS.fullmatch(w) else other).append(w)
-        ids = dict(zip([*plain, *other], chain(self._encode(plain) if plain else (), self._encode(other) if other else ()), strict=True))
-        lists = [ids[b] if len(b) == len(c) else [*ids[b], self.marks[c[-1:]]] for b, c in zip(base, chunks, strict=True)]
+        for c in chunks:
+            (plain if LETTERS.fullmatch(c) else other).append(c)
+        chunks = [*plain, *other]
+        lists = [*(self._encode(plain) if plain else ()), *(self._encode(other) if other else ())]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
         known, used = self.known + len(lists), self.used + len(flat)
@@ -106,22 +105,44 @@ class ChunkTokens:
         if self.whole:
             lists = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
-        lists = [t.encode().split() if t else [] for t in texts]
-        chunks = [c for x in lists for c in x]
-        before, new = (self.known, self.used), list(set(chunks).difference(self.place))
-        self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        chunks, counts = chunked(texts)
+        at = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        before, new = (self.known, self.used), []
+        if len(missing):
+            absent = [chunks[k] for k in missing.tolist()]
+            new = list(set(absent))
+            self._learn(new)
+            at[missing] = np.fromiter(map(self.place.__getitem__, absent), np.int64, len(absent))
         sizes, starts = self.lengths[at], self.starts[at]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        if len(self.place) > CACHE:  # full: what is frequent was met early and stays, this piece's rare chunks go
+        if len(self.place) > TOKEN_CACHE:  # full: what is frequent was met early and stays, this piece's rare chunks go
             for c in new:
                 del self.place[c]
             self.known, self.used = before
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, lists)])]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(upto)
 
 
+def chunked(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """Chunks between ASCII white space of all texts, and how many each has.
+
+    A-Z are lowered, as the tokenizer does, except in texts that may name a special token.  A stop or comma between an
+    ASCII letter and white space is a chunk of its own, as it is a token of its own.
+    """
+    parts = [(b if b"<|" in b else b.lower()) for b in (t.encode() if t else b"" for t in texts)]
+    text = np.frombuffer(b"\n".join([b"", *parts, b""]), np.uint8)
+    kind = KINDS[text]
+    cuts = np.flatnonzero((kind[1:-1] == 2) & (kind[:-2] == 1) & (kind[2:] == 3)) + 1
+    text = np.insert(text, cuts, 32)
+    begins = np.cumsum([1, *(len(p) + 1 for p in parts)])
+    begins += np.searchsorted(cuts, begins)
+    space = KINDS[text] == 3
+    words = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    return text.tobytes().split(), np.diff(np.searchsorted(words, begins))
+
+
 _tokens: dict[tuple[str, bool], ChunkTokens] = {}
 
 
