@@ -8,13 +8,14 @@ of stopping the others.
 
 from __future__ import annotations
 
-import pickle
+
 import random
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -76,7 +77,7 @@ class Batch(InputPartition):
 
 class QuoteReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.provider: Provider = pickle.loads(bytes.fromhex(options["provider"]))
+        self.provider: Provider = cloudpickle.loads(bytes.fromhex(options["provider"]))
         self.table = options.get("table", "history")
         self.groups = [x.split("\t") for x in options["batches"].split("\n") if x]
         self.attempts, self.pause = int(options.get("attempts", ATTEMPTS)), float(options.get("pause", PAUSE))
@@ -118,7 +119,7 @@ def fetch(spark: SparkSession, universe: DataFrame, provider: Provider, table: s
     spark.dataSource.register(Quotes)
     groups = batches(universe, batch_size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("t")).orderBy("batch").collect()
     listed = "\n".join("\t".join(x.ticker for x in r.t) for r in groups)
-    reader = spark.read.format("quotes").option("provider", pickle.dumps(provider).hex()).option("table", table).option("batches", listed)
+    reader = spark.read.format("quotes").option("provider", cloudpickle.dumps(provider).hex()).option("table", table).option("batches", listed)
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
