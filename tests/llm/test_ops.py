@@ -199,6 +199,70 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_that_share_a_line_are_told_apart(spark):
+    draw = np.random.default_rng(8)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**6, n)]
+    line = text(44)
+    kinds = [text(3) + line + text(3) for _ in range(25)]
+    of = draw.permutation(np.repeat(np.arange(25), 3)).tolist()
+    texts = [" ".join(text(40) + kinds[k] + text(40)) for k in of]
+    for rows in (docs(spark, texts).coalesce(1), docs(spark, texts).repartition(8)):
+        got = {r.doc_id: r.class_id for r in passages.repeated_passages(rows).collect()}
+        assert got == {d: of.index(k) for d, k in enumerate(of)}
+
+
+def test_a_row_stands_only_for_rows_with_the_same_window():
+    key, same = np.zeros(5, np.int64), np.array([7, 8, 7, 9, 7], np.uint64)
+    doc = np.arange(5)
+    out = passages.condensed(key, np.full(5, 3, np.int64), doc, np.zeros(5, np.int64), same)
+    alone = out[4] < 0
+    assert sorted(out[2][alone].tolist()) == [0, 1, 3]
+    assert sorted(zip(out[2][~alone].tolist(), out[4][~alone].tolist(), strict=True)) == [(0, 2), (0, 4)]
+    tokens = np.random.default_rng(1).integers(0, 2**63, 40, dtype=np.uint64)
+    twice = np.concatenate([tokens, tokens])
+    one, two, other = passages.span_hashes(twice, np.array([3, 43, 4]), np.array([30, 70, 30])).tolist()
+    assert one == two != other
+
+
+def set_likeness(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b))
+
+
+@pytest.mark.parametrize("change", ["replace", "insert", "delete"])
+def test_a_changed_word_at_any_place(change):
+    draw = np.random.default_rng(9)
+    word = lambda n: draw.integers(0, 2**63, n, dtype=np.uint64)
+    least = passages.least_tokens()
+    grams = lambda w: passages.gram_hashes(w, passages.SHINGLE)
+    for n in (51, 53, 60, 67, 75):
+        core = word(n)
+        for p in range(n):
+            near = np.concatenate([core[:p], word(0 if change == "delete" else 1), core[p + (change != "insert") :]])
+            a, b = grams(np.concatenate([word(30), core, word(30)])), grams(np.concatenate([word(17), near, word(40)]))
+            if set_likeness(grams(core).tolist(), grams(near).tolist()) < passages.SIMILARITY:
+                continue
+            common = [t for t in grams(core) if t in set(grams(near).tolist())]
+            for t in (common[0], common[len(common) // 2], common[-1]):
+                at = (int(np.flatnonzero(a == t)[0]), int(np.flatnonzero(b == t)[0]))
+                found = passages.verified(a, b, {at}, least, passages.SIMILARITY)
+                assert len(found) == 1, (n, p)
+                i, j, k, m, alike = found[0]
+                assert min(j - i, m - k) + 1 >= least and set_likeness(a[i : j + 1].tolist(), b[k : m + 1].tolist()) == alike >= passages.SIMILARITY
+
+
+def test_the_longest_stretch_against_brute_force():
+    draw = np.random.default_rng(10)
+    for _ in range(200):
+        hits = draw.random(30) < 0.85
+        at = int(draw.integers(0, 30))
+        hits[at] = True
+        spans = [(i, j) for i in range(at + 1) for j in range(at, 30) if hits[i] and hits[j] and hits[i : j + 1].mean() >= 8 / 9 - 1e-9]
+        i, j = passages.longest(hits, at, 1, 8 / 9)
+        assert (i, j) in spans and j - i == max(y - x for x, y in spans)
+        x, y = passages.run_around(hits, at)
+        assert hits[x : y + 1].all() and (x == 0 or not hits[x - 1]) and (y == 29 or not hits[y + 1])
+
+
 @needs_data
 def test_exact_runs_of_50_words_are_all_found(spark):
     seen, pairs = {}, set()
