@@ -192,6 +192,18 @@ def test_stream_appends_each_bar_once(spark, tmp_path):
     assert sorted(r.Close for r in spark.read.parquet(out).collect()) == [1.0, 2.0, 3.0]
 
 
+def test_stream_keeps_bars_that_come_late(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    history(spark, A=[1.0] * 400).where("Date >= '2025-01-01'").write.parquet(source)
+    for more in ({"B": [2.0] * 400}, {"A": [3.0] * 400}, {}):
+        ingest.append_history(ingest.bar_stream(spark, source), out, state).awaitTermination()
+        if more:
+            history(spark, **more).coalesce(1).write.mode("append").parquet(source)
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == len({(r.Ticker, r.Date) for r in rows}) == 800
+    assert all(r.Close == (2.0 if r.Ticker == "B" else 1.0 if r.Date.year == 2025 else 3.0) for r in rows)
+
+
 def test_windows_profile_of_features_input(spark, tmp_path):
     history(spark, A=[1.0, 2.0]).union(history(spark, A=[5.0])).write.parquet(str(tmp_path / "x.parquet"))
     got = files.read_features_input(spark, str(tmp_path / "x.parquet"))
