@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, simhash, token_store
+from tidewright.llm import decontaminate, near_copies, simhash, token_store
 from tidewright.llm.shared import table, written
 
-from .test_ops import DATA, TOKENIZER, plain_fingerprint, plain_hits
+from .test_ops import DATA, LOWER, TOKENIZER, plain_fingerprint, plain_hits
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
@@ -55,6 +55,31 @@ def test_stages(spark):
     assert [r.doc_id for r in rows] == sorted(mix) and all(r.ids_crc32 == crc[r.doc_id] for r in rows)
 
 
+def likeness(a, b):
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    a, b = (cut((t or "").translate(LOWER).split()) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_no_near_copy_is_mixed(spark):
+    rows = table(spark, DATA, "documents").where("doc_id in (1, 177, 6, 145, 2, 3)")
+    text = {r.doc_id: r.text for r in rows.collect()}
+    assert likeness(text[1], text[177]) >= 0.8 and likeness(text[6], text[145]) >= 0.8
+    assert {177, 145} <= {r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, DATA).collect()}
+    assert not {177, 145} & {r.doc_id for r in corpus_pipeline.mixing(spark, rows, DATA).collect()}
+
+
+def test_near_copies_against_brute_force(spark):
+    docs = table(spark, DATA, "documents").where("doc_id < 200")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    forest = simhash.Forest()
+    for a in text:
+        for b in text:
+            if a < b and likeness(text[a], text[b]) >= 0.8:
+                forest.join(a, b)
+    assert {r.doc_id for r in near_copies.without_near_copies(docs).collect()} == {k for k in text if forest.find(k) == k}
+
+
 def test_item_words_and_empty_table(spark):
     assert decontaminate.item_words("A-b 1é!") == [b"a", b"b", "1é".encode()]
     docs = table(spark, DATA, "documents").limit(0)
