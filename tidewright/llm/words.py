@@ -31,12 +31,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int, most: int = PIECE_CH
 
 
 def kept_rows(docs: DataFrame, text_col: str, make_judge: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
-    """The rows of ``docs``, whole, for whose text the judge (made once in each task) says True."""
+    """The rows of ``docs``, whole, for whose text the judge (made once in each task) says True.
+
+    A null text is judged as None.  Repeated rows are judged alike; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make_judge()
-        for piece, texts in pieces(batches, at):
+        for piece, texts in pieces(batches, at, 1_000_000):
             yield piece.filter(pa.array(judge(texts), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
