@@ -343,41 +343,49 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
+def archived(spark, rows, least=0, id_type="long"):
+    folder = new_folder(spark, "w")
+    warc.write_archive(rows, folder, least)
+    files = warc.export_warc(warc.original_records(spark, folder), f"{folder}/records")
+    return folder, files, warc.read_archive(files, id_type)
+
+
+@pytest.mark.parametrize("id_type", ["long", "string"])
 @pytest.mark.parametrize("least,types", [(0, {3: 1, 1: None, 2: None, 5: 2, 4: None, 9: 1}), (1, {3: 1, 1: None, 2: None, 5: None, 4: None, 9: 1})])
-def test_archive_round_trip(spark, least, types):
+def test_archive_round_trip(spark, least, types, id_type):
     import base64
 
-    folder = new_folder(spark, "w")
-    warc.write_archive(pages(spark), folder, least)
-    got = warc.read_archive(spark, folder).collect()
-    assert len(got) == 8 and {r.page_id: r.refers_to for r in got if r.page_id is not None} == types
-    html = {r.page_id: r.html or "" for r in pages(spark).collect() if r.page_id is not None}
+    name = (lambda k: k) if id_type == "long" else (lambda k: None if k is None else f"{k}>\n é%")
+    source = pages(spark) if id_type == "long" else spark.createDataFrame([(name(r.page_id), r.url, r.html, "x") for r in pages(spark).collect()], "page_id string, url string, html string, digest string")
+    folder, files, found = archived(spark, source, least, id_type)
+    got = found.collect()
+    assert len(got) == 8 and {r.page_id: r.refers_to for r in got if r.page_id is not None} == {name(k): name(v) for k, v in types.items()}
+    html = {r.page_id: r.html or "" for r in source.collect() if r.page_id is not None}
     for r in got:
         assert (r.record_type == "revisit") == (r.refers_to is not None)
         if r.page_id is not None:
             data = html[r.page_id].encode()
             assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
     assert spark.read.parquet(f"{folder}/payloads").count() == 4
-    files = warc.export_warc(warc.original_records(spark, folder), new_folder(spark, "files")).collect()
-    records = [x for f in files for x in warc.read_warc(f.path)]
-    assert len(records) == 8 and sum(f.n_records for f in files) == 8
+    records = [x for f in files.collect() for x in warc.read_warc(f.path)]
+    assert len(records) == 8 and sum(f.n_records for f in files.collect()) == 8
     for fields, block in records:
-        page = fields["WARC-Record-ID"][len("<urn:x-page:") : -1]
-        body = block.split(b"\r\n\r\n", 1)[1]
-        if page != "null":
-            assert body == (b"" if fields["WARC-Type"] == "revisit" else html[int(page)].encode())
+        page, body = warc.page_of(fields["WARC-Record-ID"]), block.split(b"\r\n\r\n", 1)[1]
+        if page is not None:
+            assert body == (b"" if fields["WARC-Type"] == "revisit" else html[int(page) if id_type == "long" else page].encode())
 
 
 def test_a_damaged_payload_is_an_error(spark):
-    folder = new_folder(spark, "w")
-    warc.write_archive(pages(spark), folder)
-    bad = spark.read.parquet(f"{folder}/payloads").withColumn("payload", F.lit(b"other")).collect()
-    spark.createDataFrame(bad, "key string, payload binary").write.mode("overwrite").parquet(f"{folder}/payloads")
+    folder, files, _ = archived(spark, pages(spark))
+    bad = spark.read.parquet(f"{folder}/payloads").withColumn("packed", F.lit(b"other")).collect()
+    spark.createDataFrame(bad, "key string, packed binary").write.mode("overwrite").parquet(f"{folder}/payloads")
+    with pytest.raises(Exception, match="disagree"):
+        warc.original_records(spark, folder).collect()
+    record = next(r.record for r in warc.original_records(spark, archived(spark, pages(spark))[0]).collect() if r.page_id == 1)
+    lying = spark.createDataFrame([(1, bytearray(bytes(record).replace(b"one", b"two")))], "page_id long, record binary")
     with pytest.raises(Exception, match="disagree"):
-        warc.read_archive(spark, folder).collect()
-    empty = new_folder(spark, "w")
-    warc.write_archive(pages(spark).limit(0), empty)
-    assert warc.read_archive(spark, empty).count() == 0
+        warc.read_archive(warc.export_warc(lying, new_folder(spark, "lying"))).collect()
+    assert archived(spark, pages(spark).limit(0))[2].count() == 0
 
 
 # SimHash

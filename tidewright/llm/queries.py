@@ -18,7 +18,7 @@ from .shared import new_folder, table
 from .simhash import near_duplicates
 from .token_store import stored_tokens
 from .toxicity import fit_toxicity, toxicity_scores
-from .warc import read_archive, write_archive
+from .warc import export_warc, original_records, read_archive, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,8 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), folder)
-    return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    files = export_warc(original_records(spark, folder), f"{folder}/records")
+    return read_archive(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,24 @@
 """A content-addressed WARC archive.
 
-Payloads are stored once, under their SHA-256; record headers (the WARC header and the HTTP header, byte for byte) are
-stored apart with the key of their payload.  A join puts original records together again.  On reading, payloads are
-hashed anew and must match both their key and the digests that the headers state.
+Payloads are stored once, zstandard-compressed, under the SHA-256 of their bytes; record headers (the WARC header and the
+HTTP header, byte for byte) are stored apart with the key of their payload.  A join puts the original records together
+again -- each payload is unpacked and must match its key -- and they are written as WARC files, one gzip member a record.
+On reading, payloads are hashed anew and must match the digests and lengths that their headers, and those of their
+revisits, state.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+import zlib
+from base64 import b32encode
 from collections.abc import Iterator
+from itertools import batched
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,28 +29,42 @@ from .shared import written
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The date of records whose pages have none.
 DATE = "2000-01-01T00:00:00Z"
+#: What stands for a null page_id; others are named by their text, encoded as in a URL.
+NO_PAGE = "<urn:x-page-null:>"
+#: Compression of the WARC files, and bytes read at once.
+GZIP_LEVEL, CHUNK = 3, 1 << 20
 #: Records of payloads below so many bytes are never revisits.
 LEAST_BYTES = 0
 
 
-def base32_of_hex(hex_digits: Column, digits: int) -> Column:
-    """Upper-case base32 of a number of hexadecimal digits that is a multiple of 5 (20 bits make four letters)."""
-    letters = []
-    for k in range(0, digits, 5):
-        value = F.conv(F.substring(hex_digits, k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(BASE32), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def record_id(page_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("<urn:x-page:"), F.url_encode(page_id.cast("string")), F.lit(">")), F.lit(NO_PAGE))
 
 
-def payload_digest(payload: Column) -> Column:
-    return base32_of_hex(F.sha1(payload), 40)
+def page_of(record: str | None) -> str | None:
+    """The page_id, as text, of a record's name."""
+    return unquote_plus(record[len("<urn:x-page:") : -1]) if record and record != NO_PAGE else None
 
 
-def record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+def sha1_base32(data: bytes) -> str:
+    return b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def hashed(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, payload): the payload's key, digest and length, and the payload compressed."""
+    at = ["page_id", "url", "key", "digest", "bytes", "packed"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data = [x or b"" for x in batch.column(2).to_pylist()]
+            made = [[f(x) for x in data] for f in (lambda x: hashlib.sha256(x).hexdigest(), sha1_base32, len, packer.compress)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(made, (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True))], names=at)
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "payload").mapInArrow(read, f"page_id {kind}, url string, key string, digest string, bytes long, packed binary")
 
 
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -49,14 +72,14 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
 
     Of records with equal payloads of at least least_bytes, the one with the smallest page_id is the response and the
     others revisit it; smaller payloads are all responses.  A null html is an empty payload, a null url an empty one
-    (line breaks in a url are dropped).  Rows that repeat the smallest page_id are responses too; a null page_id never
-    is a response that others revisit, and is one itself only if its payload has no other page_id.
+    (line breaks in a url are dropped).  Identifiers are of any type that can be ordered and cast from text.  Rows that
+    repeat the smallest page_id are responses too; a null page_id never is a response that others revisit, and is one
+    itself only if its payload has no other page_id.  Payloads of any length are stored whole.  An empty table gives an
+    empty archive; other columns are not read.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("url"), payload.alias("payload"))
-    facts = rows.select("page_id", "url", F.sha2("payload", 256).alias("key"), payload_digest(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
-    facts = written(facts, "warc-facts")
-    owners = facts.groupBy(F.col("key").alias("of")).agg(F.min("page_id").alias("owner"))
+    rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("url"), F.encode("html", "UTF-8").alias("payload"))
+    rows = written(hashed(rows), "warc-pages")
+    owners = rows.groupBy(F.col("key").alias("of")).agg(F.min("page_id").alias("owner"))
 
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     revisit = (F.col("bytes") >= least_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
@@ -73,71 +96,62 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
         line("Content-Length", (F.octet_length("http") + F.when(F.col("revisit"), 0).otherwise(F.col("bytes"))).cast("string")),
         F.lit("\r\n"),
     )
-    records = facts.join(owners, F.col("key") == F.col("of")).withColumn("http", http).withColumn("revisit", revisit)
-    records.select("page_id", "key", F.encode(F.concat(head, "http"), "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
+    records = rows.select("page_id", "url", "key", "digest", "bytes").join(owners, F.col("key") == F.col("of")).withColumn("http", http).withColumn("revisit", revisit)
+    records.select("page_id", "key", "revisit", F.encode(F.concat(head, "http"), "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
+    # Equal keys hold equal payloads, so any of them is kept; most copies go before the shuffle.
+    rows.groupBy("key").agg(F.first("packed").alias("packed")).write.parquet(f"{folder}/payloads")
 
-    # One row holds each payload: the owner's, or any of those with a null page_id if there is no other.
-    chosen = owners.select("of", F.col("owner").alias("held_by"))
-    rows.withColumn("key", F.sha2("payload", 256)).join(chosen, (F.col("key") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("held_by"))).groupBy("key").agg(
-        F.first("payload").alias("payload")
-    ).write.parquet(f"{folder}/payloads")
 
+def original_records(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, record: the bytes of each WARC record.  Revisits carry no payload, so each payload is joined to its responses only.
 
-def field(name: str) -> Column:
-    """A field of the WARC header; null if it has none."""
-    return F.nullif(F.regexp_extract("head", f"\\n{name}: ([^\\r\\n]*)\\r\\n", 1), F.lit(""))
-
+    A payload that is absent or does not match its key is an error.
+    """
+    headers = spark.read.parquet(f"{folder}/headers")
+    responses = headers.where(~F.col("revisit")).join(spark.read.parquet(f"{folder}/payloads").withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
+    rows = responses.select("page_id", "key", "header", "packed").unionByName(headers.where("revisit").select("page_id", F.lit(None).cast("string").alias("key"), "header", F.lit(None).cast("binary").alias("packed")))
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest: both hashed anew from the stored payload.
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
 
-    A payload that does not match its key, or a header whose digest or length does not match its payload, is an error.
-    """
-    payloads = spark.read.parquet(f"{folder}/payloads")
-    facts = payloads.select(
-        F.col("key").alias("of"),
-        (F.sha2("payload", 256) == F.col("key")).alias("sound"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        payload_digest(F.col("payload")).alias("payload_digest"),
-    )
-    records = spark.read.parquet(f"{folder}/headers").select("key", F.decode("header", "UTF-8").alias("head"))
-    page = lambda name: F.nullif(F.regexp_extract(F.coalesce(field(name), F.lit("")), "<urn:x-page:(.*)>", 1), F.lit("null")).try_cast("long")
-    stated = F.regexp_extract("head", "\\r\\n\\r\\nHTTP/1.1 200 OK\\r\\n(?:.*\\r\\n)*?Content-Length: (\\d+)\\r\\n", 1).try_cast("long")
-    checked = records.join(facts, F.col("key") == F.col("of"), "left").withColumn(
-        "fine", F.coalesce(F.col("sound") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest")) & (stated == F.col("payload_bytes")), F.lit(False))
-    )
-    digest = F.when(F.col("fine"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload and header disagree: "), F.col("head"))).cast("string"))
-    return checked.select(
-        page("WARC-Record-ID").alias("page_id"),
-        F.coalesce(field("WARC-Target-URI"), F.lit("")).alias("url"),
-        field("WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"),
-        "payload_bytes",
-        digest.alias("payload_digest"),
-    )
+        def payload(key: str | None, packed: bytes | None) -> bytes:
+            if key is None:
+                return b""
+            try:
+                data = unpacker.decompress(packed)
+            except (zstandard.ZstdError, TypeError):
+                data = None
+            if data is None or hashlib.sha256(data).hexdigest() != key:
+                raise ValueError(f"payload and key disagree: {key}")
+            return data
 
+        for batch in batches:
+            records = [h + payload(k, p) + b"\r\n\r\n" for k, h, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(records, pa.binary())], names=["page_id", "record"])
 
-def original_records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, record: the bytes of each WARC record.  Revisits carry no payload, so each payload is joined to its response only."""
-    headers = spark.read.parquet(f"{folder}/headers").withColumn("revisit", F.contains(F.decode("header", "UTF-8"), F.lit("\r\nWARC-Type: revisit\r\n")))
-    end = F.lit(b"\r\n\r\n")
-    responses = headers.where(~F.col("revisit")).join(spark.read.parquet(f"{folder}/payloads"), "key")
-    return responses.select("page_id", F.concat("header", "payload", end).alias("record")).unionByName(headers.where("revisit").select("page_id", F.concat("header", end).alias("record")))
+    kind = headers.schema["page_id"].dataType.simpleString()
+    return rows.mapInArrow(rebuild, f"page_id {kind}, record binary")
 
 
 def export_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Write records (page_id, record) as .warc files, one per partition; returns path and n_records."""
+    """Write records (page_id, record) as .warc.gz files, one per partition that has any; returns path and n_records."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, count = TaskContext.get(), 0
-        path = f"{folder}/records-{context.partitionId():06d}-{context.taskAttemptId()}.warc"
+        path, count = f"{folder}/records-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
 
         def fill(sink) -> None:
             nonlocal count
-            for batch in batches:
+            batch = first
+            while batch is not None:
                 for record in batch.column(0):
-                    sink.write(record.as_py())
+                    packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
+                    sink.write(packer.compress(record.as_py()) + packer.flush())
                     count += 1
+                batch = next(batches, None)
 
         write_once(path, fill)
         yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
@@ -146,15 +160,66 @@ def export_warc(records: DataFrame, folder: str) -> DataFrame:
 
 
 def read_warc(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a .warc file."""
-    with open_file(path) as file:
-        data, at = file.read(), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at) + 4
-        first, *lines = data[at:end].decode().rstrip("\r\n").split("\r\n")
+    """Header fields and block of each record of a .warc.gz file, of which one record is held at a time."""
+
+    def record(data: bytes) -> tuple[dict[str, str], bytes]:
+        end = data.index(b"\r\n\r\n") + 4
+        first, *lines = data[:end].decode().rstrip("\r\n").split("\r\n")
         if first != VERSION:
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"{path} holds something else than records")
         fields = dict(x.split(": ", 1) for x in lines)
         size = int(fields["Content-Length"])
-        yield fields, data[end : end + size]
-        at = end + size + 4
+        if len(data) != end + size + 4 or data[-4:] != b"\r\n\r\n":
+            raise ValueError(f"a record of {path} and its length disagree")
+        return fields, data[end : end + size]
+
+    with open_file(path) as file:
+        member, parts, data = zlib.decompressobj(31), [], b""
+        while data := data or file.read(CHUNK):
+            parts.append(member.decompress(data))
+            data = member.unused_data
+            if member.eof:
+                yield record(b"".join(parts))
+                member, parts = zlib.decompressobj(31), []
+        if parts:
+            raise ValueError(f"{path} ends within a record")
+
+
+READ = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+
+
+def read_archive(files: DataFrame, id_type: str = "long") -> DataFrame:
+    """files: path.  page_id, url, record_type, refers_to, payload_bytes, payload_digest of each record in the files.
+
+    Payloads are hashed anew.  A payload that does not match its header's digest or length, or a revisit that does not
+    match the payload of the response that it names, is an error.  id_type: the type that identifiers are cast to.
+    """
+    spark, names = files.sparkSession, [x.split()[0] for x in READ.split(", ")]
+    paths = [r.path for r in files.select("path").collect()]  # a row per file
+    if not paths:
+        return spark.createDataFrame([], READ).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+
+    def facts(path: str) -> Iterator[tuple]:
+        for fields, block in read_warc(path):
+            http, payload = block.split(b"\r\n\r\n", 1)
+            stated, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
+            size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
+            if kind == "response" and (sha1_base32(payload) != stated or len(payload) != size):
+                raise ValueError(f"payload and header disagree: {fields}")
+            yield page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, page_of(fields.get("WARC-Refers-To")), size, stated
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for rows in batched(facts(path), 10_000):
+                    columns = map(list, zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if n == "payload_bytes" else pa.string()) for n, x in zip(names, columns, strict=True)], names=names)
+
+    listed = spark.sparkContext.parallelize([(p,) for p in paths], len(paths)).toDF("path string")
+    rows = written(listed.mapInArrow(read, READ), "warc-records")
+    # What a revisit says must hold for its response: the same digest and length.
+    held = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("sha")).agg(F.max("payload_bytes").alias("held_bytes"))
+    checked = rows.join(held, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("sha")), "left")
+    fine = (F.col("record_type") != "revisit") | F.coalesce(F.col("payload_bytes") == F.col("held_bytes"), F.lit(False))
+    digest = F.when(fine, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("revisit and response disagree: "), F.coalesce("page_id", F.lit("null")))).cast("string"))
+    return checked.select(F.col("page_id").cast(id_type).alias("page_id"), "url", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"), "payload_bytes", digest.alias("payload_digest"))
