@@ -33,8 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 #: What stands for a null page_id; others are named by their text, encoded as in a URL.
 NO_PAGE = "<urn:x-page-null:>"
-#: Compression of the WARC files, and bytes read at once.
-GZIP_LEVEL, CHUNK = 3, 1 << 20
+#: Compression of stored payloads and of WARC files, and bytes read at once.
+LEVEL, GZIP_LEVEL, CHUNK = 6, 6, 1 << 20
 #: Records of payloads below so many bytes are never revisits.
 LEAST_BYTES = 0
 
@@ -52,19 +52,29 @@ def sha1_base32(data: bytes) -> str:
     return b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def hashed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, payload): the payload's key, digest and length, and the payload compressed."""
-    at = ["page_id", "url", "key", "digest", "bytes", "packed"]
+def described(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, payload): page_id, url, and the payload's key, digest and length."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data = [x or b"" for x in batch.column(2).to_pylist()]
-            made = [[f(x) for x in data] for f in (lambda x: hashlib.sha256(x).hexdigest(), sha1_base32, len, packer.compress)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(made, (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True))], names=at)
+            made = (pa.array(map(f, data)) for f in (lambda x: hashlib.sha256(x).hexdigest(), sha1_base32, len))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["page_id", "url", "key", "digest", "bytes"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "payload").mapInArrow(read, f"page_id {kind}, url string, key string, digest string, bytes long, packed binary")
+    return pages.select("page_id", "url", "payload").mapInArrow(read, f"page_id {kind}, url string, key string, digest string, bytes long")
+
+
+def packed(pages: DataFrame) -> DataFrame:
+    """key, packed: each payload compressed, under the SHA-256 of its bytes."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            data = [x or b"" for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hashlib.sha256(x).hexdigest() for x in data), pa.array(map(packer.compress, data))], names=["key", "packed"])
+
+    return pages.select("payload").mapInArrow(read, "key string, packed binary")
 
 
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -78,8 +88,8 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
     empty archive; other columns are not read.
     """
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "").alias("url"), F.encode("html", "UTF-8").alias("payload"))
-    rows = written(hashed(rows), "warc-pages")
-    owners = rows.groupBy(F.col("key").alias("of")).agg(F.min("page_id").alias("owner"))
+    facts = written(described(rows), "warc-facts")
+    owners = facts.groupBy(F.col("key").alias("of")).agg(F.min("page_id").alias("owner"))
 
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     revisit = (F.col("bytes") >= least_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
@@ -96,10 +106,10 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
         line("Content-Length", (F.octet_length("http") + F.when(F.col("revisit"), 0).otherwise(F.col("bytes"))).cast("string")),
         F.lit("\r\n"),
     )
-    records = rows.select("page_id", "url", "key", "digest", "bytes").join(owners, F.col("key") == F.col("of")).withColumn("http", http).withColumn("revisit", revisit)
+    records = facts.join(owners, F.col("key") == F.col("of")).withColumn("http", http).withColumn("revisit", revisit)
     records.select("page_id", "key", "revisit", F.encode(F.concat(head, "http"), "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
     # Equal keys hold equal payloads, so any of them is kept; most copies go before the shuffle.
-    rows.groupBy("key").agg(F.first("packed").alias("packed")).write.parquet(f"{folder}/payloads")
+    packed(rows).groupBy("key").agg(F.first("packed").alias("packed")).write.parquet(f"{folder}/payloads")
 
 
 def original_records(spark: SparkSession, folder: str) -> DataFrame:
