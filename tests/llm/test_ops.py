@@ -211,19 +211,6 @@ def test_passages_that_share_a_line_are_told_apart(spark):
         assert got == {d: of.index(k) for d, k in enumerate(of)}
 
 
-def test_a_row_stands_only_for_rows_with_the_same_window():
-    key, same = np.zeros(5, np.int64), np.array([7, 8, 7, 9, 7], np.uint64)
-    doc = np.arange(5)
-    out = passages.condensed(key, np.full(5, 3, np.int64), doc, np.zeros(5, np.int64), same)
-    alone = out[4] < 0
-    assert sorted(out[2][alone].tolist()) == [0, 1, 3]
-    assert sorted(zip(out[2][~alone].tolist(), out[4][~alone].tolist(), strict=True)) == [(0, 2), (0, 4)]
-    tokens = np.random.default_rng(1).integers(0, 2**63, 40, dtype=np.uint64)
-    twice = np.concatenate([tokens, tokens])
-    one, two, other = passages.span_hashes(twice, np.array([3, 43, 4]), np.array([30, 70, 30])).tolist()
-    assert one == two != other
-
-
 def set_likeness(a, b):
     return len(set(a) & set(b)) / len(set(a) | set(b))
 
