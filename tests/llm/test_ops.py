@@ -466,6 +466,32 @@ def test_each_source_ends_near_its_target(spark):
     assert mixing.mixed(table.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_drawn_as_often_as_planned(spark):
+    rows = [(k % 40, "w w" if k % 3 else None, "a" if k % 5 else None, "x", k) for k in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies string, nth long")
+    got = mixing.mixed_documents(table)
+    taken = [r for r in got.collect()]
+    assert got.columns == table.columns and got.schema["nth"].dataType == table.schema["nth"].dataType
+    planned = sum(r.copies for r in mixing.mixed(table).collect())
+    assert abs(len(taken) - planned) <= 4
+    assert max(taken.count(r) for r in set(taken)) <= 3
+    assert mixing.mixed_documents(table.limit(0)).count() == 0
+
+
+def test_toxicity_learns_from_tables_with_clashing_columns(spark, monkeypatch):
+    texts, labels = toxic_corpus()
+    rows = spark.createDataFrame([(k, t, 0, "k", 1) for k, t in enumerate(texts)] + [(10**6, "a " * 5000, 0, "k", 1)], "doc_id long, text string, y int, key string, id int")
+    marks = spark.createDataFrame([(k, y, 9, 9) for k, y in enumerate(labels)] + [(10**6, 1, 9, 9)], "doc_id long, toxic int, y int, id int")
+    none = language.fit_languages(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    monkeypatch.setattr(toxicity, "FIT_LONGEST", 4000)
+    model = toxicity.fit_toxicity(rows, marks, none)
+    right = [r.predicted == labels[r.doc_id] for r in toxicity.toxicity_scores(rows, model).collect() if r.doc_id < 10**6]
+    assert np.mean(right) > 0.95
+    assert toxicity.without_toxic(rows.limit(0), model).columns == rows.columns
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 0)
+    assert toxicity.fit_toxicity(rows, marks, none).network is None
+
+
 def test_likelier_documents_are_drawn_more_often(spark):
     rows = [(k, "w w w w", "a" if k % 2 else "b") for k in range(2000)]
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), preference=F.when(F.col("doc_id") % 4 < 2, 3.0).otherwise(1.0))

@@ -76,6 +76,7 @@ def mixed(
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("prefer")).alias("preferred"))
     goals = targets(by_source.select("source", "source_size"), weights, repeats).withColumnRenamed("source", "of")
     goals = goals.join(by_source.select(F.col("source").alias("also"), "preferred"), F.col("of").eqNullSafe(F.col("also"))).drop("also")
+    goals = written(goals, "mixing-goals")  # a row per source, used several times
 
     if preference is None:
         expected = F.try_divide(F.col("target"), F.col("source_size"))
@@ -126,7 +127,22 @@ def mixed(
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (not at all, or up to ``repeats`` times); identifiers are taken to be unique."""
-    copies = mixed(docs, id_col, **names).where("copies > 0").select(F.col(id_col).alias("__id"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__copies"))
-    return docs.join(copies, docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", preference: Column | None = None, **names) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (not at all, or up to ``repeats`` times), with all their columns.
+
+    Rows that repeat an identifier are drawn one by one; those that also repeat text and source are drawn alike, and which
+    of them is taken is left open.  A null identifier or source is a value of its own; texts without words are
+    taken as often as is certain.  Texts of any length count whole.  An empty table gives an empty result.
+    """
+    parts = {"id": F.col(id_col), "content": F.xxhash64(text_col), "source": F.col(source_col)}
+    asked = docs.select(F.struct(*[c.alias(n) for n, c in parts.items()]).alias("key"), parts["source"], F.col(text_col).alias("text"), (F.lit(None) if preference is None else preference).cast("double").alias("prefer"))
+    draws = mixed(asked, "key", preference=None if preference is None else F.col("prefer"), **names).where("copies > 0")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("copies").desc()))
+    draws = draws.select("copies", F.struct(*[F.col(f"key.{n}") for n in parts], nth.alias("nth")).alias("drawn"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in parts.items()])
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*parts).orderBy(F.lit(1))))
+    same = F.lit(True)
+    for n in (*parts, "nth"):
+        same = same & F.col(n).eqNullSafe(F.col(f"drawn.{n}"))
+    taken = rows.join(draws, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select("row.*")
