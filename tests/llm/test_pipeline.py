@@ -98,6 +98,28 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id for r in near_copies.without_near_copies(docs).collect()} == {k for k in text if forest.find(k) == k}
 
 
+def test_large_bands_of_near_copies_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    draw = np.random.default_rng(4)
+    word = lambda n: [f"w{i}" for i in draw.integers(0, 10**6, n)]
+    base, rows = word(120), []
+    for k in range(60):  # of one half, and of four families that agree in it
+        family = draw.integers(0, 4)
+        own = np.random.default_rng(int(family)).integers(0, 10**6, 60)
+        text = base[:60] + [f"f{i}" for i in own]
+        text[int(draw.integers(60, 120))] = "changed"
+        rows.append((k, " ".join(text)))
+    rows += [(0, rows[0][1]), (100, None), (101, ""), (None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = [r for r in near_copies.without_near_copies(table).collect()]
+    kept = sorted(r.doc_id for r in stay if r.doc_id is not None and r.doc_id < 100)
+    assert kept.count(0) == 2 and len(stay) - len(kept) == 3
+    texts = dict(rows[:60])
+    assert all(alike(texts[a], texts[b]) < 0.8 for a in set(kept) for b in set(kept) if a < b)
+    assert all(any(alike(texts[a], texts[b]) >= 0.8 for b in kept) for a in texts)
+    assert near_copies.without_near_copies(table.limit(0)).count() == 0
+
+
 def test_item_words_and_empty_table(spark):
     assert decontaminate.item_words("A-b 1é!") == [b"a", b"b", "1é".encode()]
     docs = table(spark, DATA, "documents").limit(0)
