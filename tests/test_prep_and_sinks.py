@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import uuid
+from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +214,30 @@ def test_windows_profile_of_features_input(spark, tmp_path):
     assert indicators.add_features(got, "Close", (2,), ()).count() == 2
     with pytest.raises(ValueError):
         files.read_any(spark, "x.json")
+
+
+def test_each_batch_is_downloaded_once(spark, tmp_path):
+    @dataclass
+    class CountingProvider:
+        """Leaves a file for each download."""
+
+        folder: str
+
+        def bars(self, tickers):
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+            if "BAD" in tickers:
+                raise OSError("no answer")
+            return [(t, dt.datetime(2024, 3, d), 1.0, 2.0, 0.5, None if t == "NONE" else 1.5, 1.5, 10) for t in tickers for d in (1, 4)]
+
+        def actions(self, tickers, kind):
+            return []
+
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "list.csv").write_text("ticker\nONE\nNONE\nBAD\n")
+    fetch = config.Fetch(input=str(tmp_path / "list.csv"), out=str(tmp_path / "out"), batch_size=1, incremental=True, actions=False, fail_on_empty=5)
+    for run in (1, 2):
+        got = stages.fetch_stage(spark, fetch, CountingProvider(str(tmp_path / "calls")), pause=0, attempts=1)
+        assert len(os.listdir(tmp_path / "calls")) == 3 * run
+        assert {r.ticker: r.status for r in got.status.collect()} == {"ONE": "ok", "NONE": "empty", "BAD": "no answer"}
+        assert got.history.where("Ticker = 'ONE'").count() == 2
+        assert len(os.listdir(tmp_path / "calls")) == 3 * run

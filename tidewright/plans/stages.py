@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,14 @@ class Fetched:
     missing: DataFrame
 
 
+def kept(df: DataFrame, out: str) -> DataFrame:
+    """df as a table of its own, in the folder for checkpoints or, without one, beside the output: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    folder = f"{spark.sparkContext.getCheckpointDir() or f'{out}/_work'}/fetch-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, **options: object) -> Fetched | None:
     """Fetch, normalise, merge with what is stored, and write.  validate_only checks the list and returns None.
 
@@ -34,21 +43,21 @@ def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, *
     if config.validate_only:
         return None
     began = time.time()
-    raw = quotes.fetch(spark, universe, provider, "history", config.batch_size, **options).withColumn("seq", F.monotonically_increasing_id())
-    status = quotes.fetch(spark, universe, provider, "status", config.batch_size, **options).select(F.col("Ticker").alias("ticker"), "status")
+    fetched = kept(quotes.fetch(spark, universe, provider, "fetched", config.batch_size, **options).withColumn("seq", F.monotonically_increasing_id()), config.out)
+    status = fetched.where("status IS NOT NULL").select(F.col("Ticker").alias("ticker"), "status")
+    raw = fetched.where("status IS NULL").drop("status")
     new = prep.normalize_prices(raw, F.col("Ticker"), "seq")
     if config.adjusted_only:
         new = prep.adjusted_only(new)
     stored = files.read_history(spark, config.out) if config.incremental else None
     history = new if stored is None else prep.incremental_merge(stored, new.withColumn("seq", F.lit(0)), "seq")
     if stored is not None:  # what is read is about to be replaced
-        history = history.checkpoint() if spark.sparkContext.getCheckpointDir() else history.persist()
-        history.count()
+        history = kept(history, config.out)
     summary = report.run_summary(status)
     if not config.dry_run:
         tables.save_prices(history, config.out, config.per_ticker, config.compression, config.partition_by, config.float_dp)
         if config.actions:
-            dividends, splits = (quotes.fetch(spark, universe, provider, t, config.batch_size, **options) for t in ("dividends", "splits"))
+            dividends, splits = (kept(quotes.fetch(spark, universe, provider, t, config.batch_size, **options), config.out) for t in ("dividends", "splits"))
             tables.save_actions(dividends, splits, config.out, config.compression, config.float_dp)
         tables.save_report(summary, status, f"{config.out}/run_report.json", incremental=config.incremental, actions=config.actions, adjusted_only=config.adjusted_only, out_dir=config.out)
     tables.log_event(config.log_file, {"event": "fetch", "elapsed_s": round(time.time() - began, 3)})

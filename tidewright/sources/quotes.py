@@ -25,6 +25,8 @@ from ..schema import DIVIDENDS, HISTORY, SPLITS, struct
 
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, PAUSE, PAUSE_AFTER_FAILURE = 5, 1.0, 8.0, 0.5, 1.0
 STATUS = "Ticker string,status string"
+#: Bars with a null status, and a row for each ticker with nothing but its status: one download shows both.
+FETCHED = f"{HISTORY},status string"
 
 
 class Provider(Protocol):
@@ -86,20 +88,23 @@ class QuoteReader(DataSourceReader):
         return [Batch(g) for g in self.groups]
 
     def read(self, partition: Batch) -> Iterator[tuple]:
-        fetch = self.provider.bars if self.table in ("history", "status") else lambda t: self.provider.actions(t, self.table)
+        fetch = self.provider.bars if self.table in ("history", "status", "fetched") else lambda t: self.provider.actions(t, self.table)
         try:
             rows = tried(lambda: list(fetch(partition.tickers)), self.attempts, lambda s: time.sleep(s if self.pause else 0))
         except Exception as e:
             time.sleep(PAUSE_AFTER_FAILURE if self.pause else 0)
-            if self.table == "status":
-                yield from ((t, str(e)) for t in partition.tickers)
-            return
+            rows, said = [], dict.fromkeys(partition.tickers, str(e))
+        else:
+            time.sleep(self.pause)
+            priced = {r[0] for r in rows if r[5] is not None} if self.table in ("status", "fetched") else set()
+            said = {t: "ok" if t in priced else "empty" for t in partition.tickers}
         if self.table == "status":
-            priced = {r[0] for r in rows if r[5] is not None}
-            yield from ((t, "ok" if t in priced else "empty") for t in partition.tickers)
+            yield from said.items()
+        elif self.table == "fetched":
+            yield from ((*r, None) for r in rows)
+            yield from ((t, *[None] * (len(HISTORY.split(",")) - 1), s) for t, s in said.items())
         else:
             yield from rows
-        time.sleep(self.pause)
 
 
 class Quotes(DataSource):
@@ -108,14 +113,14 @@ class Quotes(DataSource):
         return "quotes"
 
     def schema(self) -> str:
-        return struct({"history": HISTORY, "dividends": DIVIDENDS, "splits": SPLITS, "status": STATUS}[self.options.get("table", "history")])
+        return struct({"history": HISTORY, "dividends": DIVIDENDS, "splits": SPLITS, "status": STATUS, "fetched": FETCHED}[self.options.get("table", "history")])
 
     def reader(self, schema) -> QuoteReader:
         return QuoteReader(self.options)
 
 
 def fetch(spark: SparkSession, universe: DataFrame, provider: Provider, table: str = "history", batch_size: int = 30, **options: object) -> DataFrame:
-    """Rows of a table (history, dividends, splits, or status) for the universe's tickers (ticker, ord)."""
+    """Rows of a table (history, dividends, splits, status, or fetched, which is history and status) for the universe's tickers (ticker, ord)."""
     spark.dataSource.register(Quotes)
     groups = batches(universe, batch_size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("t")).orderBy("batch").collect()
     listed = "\n".join("\t".join(x.ticker for x in r.t) for r in groups)
