@@ -1,4 +1,4 @@
 """Operators for preparing language-model training data.
 
-Nothing outside this subpackage imports it.  ``registry`` lists the queries.
+Nothing outside this subpackage imports it.  ``queries`` lists the queries.
 """
