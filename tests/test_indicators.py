@@ -33,12 +33,13 @@ def plain_rsi(values, n):
 
 
 def test_only_gains_give_100(spark):
-    got = column(indicators.add_features(series(spark, range(1, 8)), "Close", (), 3), "RSI_3")
-    assert got[:3] == [None] * 3 and got[3:] == [100.0] * 4
+    got = column(indicators.add_features(series(spark, [2.5 * 1.07**k for k in range(12)]), "Close", (), 5), "RSI_5")
+    assert got == [None] * 5 + [100.0] * 7
 
 
 def test_only_losses_give_0(spark):
-    assert column(indicators.add_features(series(spark, range(7, 0, -1)), "Close", (), 3), "RSI_3")[-1] == pytest.approx(0, abs=1e-6)
+    got = column(indicators.add_features(series(spark, [90 - k * k for k in range(9)]), "Close", (), 2), "RSI_2")
+    assert got[2:] == [pytest.approx(0, abs=1e-6)] * 7
 
 
 def test_flat_gives_100(spark):

@@ -18,11 +18,12 @@ def panel(spark, **tickers):
 
 
 def test_centre_is_100_and_edges_have_no_window(spark):
-    got = windows.event_windows(panel(spark, T=[float(x) for x in range(1, 21)]), 3, 2)
-    centre = got.where("Offset = 0")
-    assert got.count() == 15 * 6 and centre.count() == 15
-    assert {r.AdjClose_Rebased for r in centre.collect()} == {100.0}
-    assert got.columns[:4] == ["Ticker", "RefDate", "Offset", "Date"]
+    swing = [50.0 + (7 * k) % 13 for k in range(33)]
+    got = windows.event_windows(panel(spark, T=swing), 4, 6)
+    rows = {(r.RefDate - START).days: r for r in got.where("Offset = 0").collect()}
+    assert sorted(rows) == list(range(4, 27)) and all(r.AdjClose_Rebased == r.Close_Rebased == 100.0 and r.Date == r.RefDate for r in rows.values())
+    last = got.where("Offset = 6").collect()
+    assert all(r.Close_Rebased == pytest.approx(100 * swing[(r.Date - START).days] / swing[(r.RefDate - START).days]) for r in last) and len(last) == 23
 
 
 def test_short_series_has_no_window(spark):

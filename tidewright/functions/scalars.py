@@ -47,7 +47,8 @@ def rounded(c: Column, places: int) -> Column:
 
 
 def fixed(c: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", rounded(c, places))
+    """Text with a fixed number of places; null stays null."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{places}f", rounded(c, places)))
 
 
 def gain(delta: Column) -> Column:

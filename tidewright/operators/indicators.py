@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ewm
 from ..functions.scalars import gain, loss
-from ..schema import HISTORY_COLUMNS, require, rsi_columns, suffix_number
+from ..schema import HISTORY_COLUMNS, arranged, require
 
 
 def by_date(*, key: str = "Ticker", time: str = "Date") -> WindowSpec:
@@ -53,13 +53,4 @@ def add_features(df: DataFrame, price: str = "AdjClose", ma: Sequence[int] = (20
     for n in [rsi] if isinstance(rsi, int) else rsi:
         df = with_rsi(df, price, n, f"RSI_{n}", route)
     df = df.withColumns({f"MA_{w}": moving_average(F.col(price), w, order) for w in ma})
-    return order_feature_columns(df)
-
-
-def order_feature_columns(df: DataFrame) -> DataFrame:
-    """History columns, MA by number, RSI by number, then the rest as they came."""
-    first = [c for c in HISTORY_COLUMNS if c in df.columns]
-    ma = sorted((c for c in df.columns if c.startswith("MA_")), key=lambda c: suffix_number(c, "MA_"))
-    rsi = sorted(rsi_columns(df), key=lambda c: suffix_number(c.upper(), "RSI_"))
-    named = [*first, *ma, *rsi]
-    return df.select(*named, *[c for c in df.columns if c not in named])
+    return arranged(df, HISTORY_COLUMNS)

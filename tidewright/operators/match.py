@@ -39,6 +39,22 @@ def query_averages(df: DataFrame, price: str = "AdjClose", windows: Sequence[int
     return df.withColumns({f"MA_{w}": moving_average(F.col(price), w, by_date()) for w in windows})
 
 
+def calendar_days(trading_days: int) -> int:
+    """Days of the calendar that are asked for to get so many days of trading."""
+    return int(trading_days * 2.5)
+
+
+def days_needed(lookback: int, longest: int = 200) -> int:
+    """Days of trading that a query needs: its own, and those that the longest average runs over before."""
+    return longest + lookback
+
+
+def recent(df: DataFrame, trading_days: int, today: Column | None = None) -> DataFrame:
+    """df's rows of the calendar days that hold about so many days of trading, up to today."""
+    newest = F.current_date() if today is None else today
+    return df.where(F.col("Date") >= F.date_sub(newest, calendar_days(trading_days)).cast("timestamp_ntz"))
+
+
 def rebased_to_last(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with each <base>_Rebased: the base column over its ticker's last value, times 100; null if that is null, 0 or infinite."""
     require(df, [base_of(c) for c in columns])

@@ -22,9 +22,12 @@ def ticker_status(universe: DataFrame, history: DataFrame, value: str = "Close")
 
 
 def run_summary(status: DataFrame) -> DataFrame:
-    """One row: tickers_total, tickers_ok, tickers_failed, empty_series.  status: ticker, status (ok, empty, or the reason of a failure)."""
+    """One row: tickers_total, tickers_ok, tickers_failed, empty_series.  status: ticker, status (ok, empty, or the reason of a failure).
+
+    A ticker whose bars are fine and whose actions failed has a row for each, and counts as both.
+    """
     return status.agg(
-        F.count("*").alias("tickers_total"),
+        F.countDistinct("ticker").alias("tickers_total"),
         F.count_if(F.col("status") == "ok").alias("tickers_ok"),
         F.count_if(F.col("status") != "ok").alias("tickers_failed"),
         F.count_if(F.col("status") == "empty").alias("empty_series"),

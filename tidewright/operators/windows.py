@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rebased
-from ..schema import price_value_columns, require, rsi_columns, suffix_number
+from ..schema import arranged, require, roles
 from .indicators import by_date
 
 POLICIES = ("none", "any", "all")
+LEADING = ["Ticker", "RefDate", "Offset", "Date", "AdjClose_Rebased", "Close_Rebased"]
 
 
 def ordinals(df: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def event_windows(df: DataFrame, before: int, after: int, policy: str = "all", f
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {POLICIES}")
     require(df, ["Ticker", "Date"])
-    values, rsi = price_value_columns(df), rsi_columns(df)
+    values, rsi = roles(df)
     size = before + after + 1
     order = by_date()
     frame = order.rowsBetween(-before, after)
@@ -74,13 +75,4 @@ def event_windows(df: DataFrame, before: int, after: int, policy: str = "all", f
         out = out.dropna("any", subset=[f"{c}_Rebased" for c in values])
     if values and policy == "all":
         out = out.dropna("all", subset=[f"{c}_Rebased" for c in values])
-    return order_window_columns(out)
-
-
-def order_window_columns(df: DataFrame) -> DataFrame:
-    """Keys, AdjClose, Close, MA by number, RSI by number, then the rest."""
-    first = [c for c in ("Ticker", "RefDate", "Offset", "Date", "AdjClose_Rebased", "Close_Rebased") if c in df.columns]
-    ma = sorted((c for c in df.columns if c.startswith("MA_") and c.endswith("_Rebased")), key=lambda c: suffix_number(c.removesuffix("_Rebased"), "MA_"))
-    rsi = sorted(rsi_columns(df), key=lambda c: suffix_number(c.upper(), "RSI_"))
-    named = [*first, *ma, *rsi]
-    return df.select(*named, *[c for c in df.columns if c not in named])
+    return arranged(out, LEADING)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Features, Fetch, Match, Windows
-from ..functions.scalars import parse_list
-from ..operators import indicators, match, prep, report, windows
+from ..functions.scalars import parse_list, to_date
+from ..operators import compare, indicators, match, prep, report, windows
 from ..sinks import tables
 from ..sources import files, quotes
 
@@ -53,14 +53,17 @@ def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, *
     history = new if stored is None else prep.incremental_merge(stored, new.withColumn("seq", F.lit(0)), "seq")
     if stored is not None:  # what is read is about to be replaced
         history = kept(history, config.out)
+    if config.actions and not config.dry_run:
+        paid = {t: kept(quotes.fetch(spark, universe, provider, f"{t}_fetched", config.batch_size, **options), config.out) for t in ("dividends", "splits")}
+        for t in paid.values():
+            status = status.unionByName(t.where("status IS NOT NULL").select(F.col("Ticker").alias("ticker"), "status").distinct())
     summary = report.run_summary(status)
     if not config.dry_run:
         tables.save_prices(history, config.out, config.per_ticker, config.compression, config.partition_by, config.float_dp)
         if config.actions:
-            dividends, splits = (kept(quotes.fetch(spark, universe, provider, t, config.batch_size, **options), config.out) for t in ("dividends", "splits"))
-            tables.save_actions(dividends, splits, config.out, config.compression, config.float_dp)
+            tables.save_actions(*(t.where("status IS NULL").drop("status") for t in paid.values()), config.out, config.compression, config.float_dp)
         tables.save_report(summary, status, f"{config.out}/run_report.json", incremental=config.incremental, actions=config.actions, adjusted_only=config.adjusted_only, out_dir=config.out)
-    tables.log_event(config.log_file, {"event": "fetch", "elapsed_s": round(time.time() - began, 3)})
+    tables.log_event(spark, config.log_file, {"event": "fetch", "elapsed_s": round(time.time() - began, 3)})
     if report.too_many_empty(status, config.fail_on_empty):
         raise RuntimeError("more empty series than fail_on_empty allows")
     return Fetched(history, status, summary, missing)
@@ -96,14 +99,28 @@ def match_stage(spark: SparkSession, config: Match, provider: quotes.Provider |
     elif provider is not None:
         universe = watch.groupBy(F.col("Ticker").alias("ticker")).agg(F.min("ord").alias("ord"))
         raw = quotes.fetch(spark, universe, provider).withColumn("seq", F.monotonically_increasing_id())
-        source = match.query_averages(prep.normalize_prices(raw, F.col("Ticker"), "seq"))
+        source = match.query_averages(match.recent(prep.normalize_prices(raw, F.col("Ticker"), "seq"), match.days_needed(config.lookback)))
     else:
         raise ValueError("queries need features or a provider")
     reference = files.read_windows(spark, config.ref_dir, columns)
     asked = match.query_points(source, config.lookback, columns)
     best = match.top_matches(match.scores(asked, reference, config.lookback, columns, config.metric, weights), config.topn)
+    if write:  # what several files and the futures read is computed once
+        best = kept(best, config.out_dir)
     found = match.with_run(best, config.lookback, config.horizon, config.metric, columns)
     after = match.futures(best, reference, config.horizon, columns)
     if write:
         tables.save_matches(found, after, config.out_dir)
     return found, after, match.query_status(source, config.lookback, columns)
+
+
+def diff_stage(spark: SparkSession, left: str, right: str) -> DataFrame | None:
+    """The verdict on two copies of a table, each a CSV or a Parquet; None if one of them is not there."""
+    if not (files.exists(spark, left) and files.exists(spark, right)):
+        return None
+    return compare.verdict(*(dated(files.read_any(spark, p)) for p in (left, right)))
+
+
+def dated(df: DataFrame) -> DataFrame:
+    """df with its dates read as dates, as a CSV has them as text."""
+    return df.withColumns({c: to_date(F.col(c)) for c in ("RefDate", "Date") if c in df.columns})

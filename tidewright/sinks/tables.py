@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed, safe_filename
 from ..schema import PRICE_COLUMNS
+from ..sources.files import exists, write_text
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, compression: str = "snappy") -> None:
@@ -80,8 +80,9 @@ def save_windows(
 
 
 def save_matches(scores: DataFrame, futures: DataFrame, out: str) -> None:
-    """All scores, and futures by query."""
+    """Scores as one CSV, as a CSV per query, and as Parquet by query; futures by query."""
     write_csv(scores, f"{out}/all_scores.csv")
+    write_csv(scores, f"{out}/scores_csv", by="QueryTicker")
     write_parquet(scores, f"{out}/scores", "QueryTicker")
     write_parquet(futures, f"{out}/futures", "QueryTicker")
 
@@ -98,12 +99,12 @@ def save_report(summary: DataFrame, status: DataFrame, path: str, dry_run: bool
         "summary": {**counts, **settings, "dry_run": dry_run},
     }
     if not dry_run:
-        Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2), encoding="utf-8")
+        write_text(status.sparkSession, path, json.dumps(report, ensure_ascii=False, indent=2))
     return report
 
 
-def log_event(path: str | None, event: dict) -> None:
-    """Append an event with its time to a file of JSON lines; without a path, nothing."""
+def log_event(spark: SparkSession, path: str | None, event: dict) -> None:
+    """Add an event with its time to a file of JSON lines, in any store; without a path, nothing.  The file holds a line per run."""
     if path:
-        with open(path, "a", encoding="utf-8") as f:
-            f.write(json.dumps({"ts": datetime.now(UTC).isoformat(), **event}, ensure_ascii=False) + "\n")
+        before = [r.value for r in spark.read.text(path).collect()] if exists(spark, path) else []
+        write_text(spark, path, "\n".join([*before, json.dumps({"ts": datetime.now(UTC).isoformat(), **event}, ensure_ascii=False)]) + "\n")

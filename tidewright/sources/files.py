@@ -6,12 +6,12 @@ Spark keeps no row order of its own, so readers whose result depends on it add `
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_number
-from ..operators.prep import clean_tickers, coerced, distinct_in_order, only, unknown
-from ..schema import HISTORY, PRICE_COLUMNS, missing_to_null, price_value_columns, require, struct
+from ..operators.prep import clean_tickers, coerced, only, unknown
+from ..schema import HISTORY, PRICE_COLUMNS, missing_to_null, require, roles, struct
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -25,6 +25,23 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
     return next((p for p in paths if exists(spark, p)), paths[0])
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as a file of any store that Spark can write to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def listed(df: DataFrame, key: str = "Ticker") -> DataFrame:
+    """file, key, place: the files of a table partitioned by a key, in the order of their names."""
+    path = F.col("_metadata.file_path")
+    names = df.select(F.regexp_extract(path, "[^/]+$", 0).alias("file"), F.regexp_extract(path, f"/{key}=([^/]*)/", 1).alias(key)).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy(key, "file")).cast("long"))  # a row per file
+
+
 def with_seq(df: DataFrame) -> DataFrame:
     """df with seq, which rises with the order of rows in their files."""
     return df.withColumn("seq", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.monotonically_increasing_id()))
@@ -95,7 +112,7 @@ def load_data(spark: SparkSession, path: str) -> DataFrame:
     """Features for the windows: value columns coerced, the last row of a (Ticker, Date)."""
     raw = read_any(spark, path, other="parquet")
     require(raw, ["Ticker", "Date"])
-    return coerced(with_seq(raw), "seq", price_value_columns(raw)).drop("seq").withColumn("Ticker", F.col("Ticker").cast("string"))
+    return coerced(with_seq(raw), "seq", roles(raw)[0]).drop("seq").withColumn("Ticker", F.col("Ticker").cast("string"))
 
 
 def read_windows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
@@ -116,9 +133,9 @@ def read_query_features(spark: SparkSession, path: str, tickers: DataFrame, colu
 
 
 __all__ = [
-    "distinct_in_order",
     "exists",
     "first_existing",
+    "listed",
     "load_data",
     "read_any",
     "read_features_input",
@@ -129,4 +146,5 @@ __all__ = [
     "read_watch",
     "read_windows",
     "with_seq",
+    "write_text",
 ]

@@ -25,8 +25,9 @@ from ..schema import DIVIDENDS, HISTORY, SPLITS, struct
 
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT, PAUSE, PAUSE_AFTER_FAILURE = 5, 1.0, 8.0, 0.5, 1.0
 STATUS = "Ticker string,status string"
-#: Bars with a null status, and a row for each ticker with nothing but its status: one download shows both.
-FETCHED = f"{HISTORY},status string"
+TABLES = {"history": HISTORY, "dividends": DIVIDENDS, "splits": SPLITS}
+#: Rows with a null status, and rows with nothing but a ticker and its status (of actions: failures only): one download shows both.
+FETCHED = {"fetched": "history", "dividends_fetched": "dividends", "splits_fetched": "splits"}
 
 
 class Provider(Protocol):
@@ -59,6 +60,36 @@ class FolderProvider:
         return self._rows(kind, {"dividends": DIVIDENDS, "splits": SPLITS}[kind], tickers)
 
 
+@dataclass
+class NetworkProvider:
+    """Quotes of the optional package yfinance, asked one ticker at a time: all of a ticker's days, not adjusted."""
+
+    period: str = "max"
+
+    def _history(self, ticker: str):
+        try:
+            import yfinance
+        except ImportError as e:
+            raise RuntimeError("the network provider needs the package yfinance") from e
+        frame = yfinance.Ticker(ticker).history(period=self.period, interval="1d", auto_adjust=False)
+        frame.index = frame.index.tz_localize(None) if frame.index.tz is None else frame.index.tz_convert("UTC").tz_localize(None)
+        return frame
+
+    def bars(self, tickers: list[str]) -> Iterator[tuple]:
+        for t in tickers:
+            frame = self._history(t)
+            named = frame.reindex(columns=["Open", "High", "Low", "Close", "Adj Close", "Volume"])
+            for day, *prices, volume in named.itertuples(name=None):
+                yield (t, day.to_pydatetime(), *(None if x != x else float(x) for x in prices), None if volume != volume else int(volume))
+
+    def actions(self, tickers: list[str], kind: str) -> Iterator[tuple]:
+        name = {"dividends": "Dividends", "splits": "Stock Splits"}[kind]
+        for t in tickers:
+            paid = self._history(t).get(name)
+            if paid is not None:
+                yield from ((t, day.to_pydatetime(), float(x)) for day, x in paid[paid != 0].items())
+
+
 def tried(call: Callable[[], list], attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> list:
     """The result of call, tried again after a pause that doubles and jitters."""
     for k in range(attempts):
@@ -88,21 +119,23 @@ class QuoteReader(DataSourceReader):
         return [Batch(g) for g in self.groups]
 
     def read(self, partition: Batch) -> Iterator[tuple]:
-        fetch = self.provider.bars if self.table in ("history", "status", "fetched") else lambda t: self.provider.actions(t, self.table)
+        kind = FETCHED.get(self.table, self.table)
+        prices = kind in ("history", "status")
+        fetch = self.provider.bars if prices else lambda t: self.provider.actions(t, kind)
         try:
             rows = tried(lambda: list(fetch(partition.tickers)), self.attempts, lambda s: time.sleep(s if self.pause else 0))
         except Exception as e:
             time.sleep(PAUSE_AFTER_FAILURE if self.pause else 0)
-            rows, said = [], dict.fromkeys(partition.tickers, str(e))
+            rows, said = [], dict.fromkeys(partition.tickers, str(e) if prices else f"actions:{e}")
         else:
             time.sleep(self.pause)
-            priced = {r[0] for r in rows if r[5] is not None} if self.table in ("status", "fetched") else set()
-            said = {t: "ok" if t in priced else "empty" for t in partition.tickers}
+            priced = {r[0] for r in rows if r[5] is not None} if prices else set()
+            said = {t: "ok" if t in priced else "empty" for t in partition.tickers} if prices else {}
         if self.table == "status":
             yield from said.items()
-        elif self.table == "fetched":
+        elif self.table in FETCHED:
             yield from ((*r, None) for r in rows)
-            yield from ((t, *[None] * (len(HISTORY.split(",")) - 1), s) for t, s in said.items())
+            yield from ((t, *[None] * TABLES[kind].count(","), s) for t, s in said.items())
         else:
             yield from rows
 
@@ -113,14 +146,15 @@ class Quotes(DataSource):
         return "quotes"
 
     def schema(self) -> str:
-        return struct({"history": HISTORY, "dividends": DIVIDENDS, "splits": SPLITS, "status": STATUS, "fetched": FETCHED}[self.options.get("table", "history")])
+        table = self.options.get("table", "history")
+        return struct(f"{TABLES[FETCHED[table]]},status string" if table in FETCHED else {**TABLES, "status": STATUS}[table])
 
     def reader(self, schema) -> QuoteReader:
         return QuoteReader(self.options)
 
 
 def fetch(spark: SparkSession, universe: DataFrame, provider: Provider, table: str = "history", batch_size: int = 30, **options: object) -> DataFrame:
-    """Rows of a table (history, dividends, splits, status, or fetched, which is history and status) for the universe's tickers (ticker, ord)."""
+    """Rows of a table for the universe's tickers (ticker, ord): history, dividends, splits, status, or one of FETCHED, which has rows and status."""
     spark.dataSource.register(Quotes)
     groups = batches(universe, batch_size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("t")).orderBy("batch").collect()
     listed = "\n".join("\t".join(x.ticker for x in r.t) for r in groups)
