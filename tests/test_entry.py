@@ -9,8 +9,12 @@ import sys
 import pytest
 
 import __spark_entry__
-from tidewright.oracle import SQL
-from tidewright.queries import QUERIES
+from tidewright.oracle import SQL as ENGINE_SQL
+from tidewright.queries import QUERIES as ENGINE
+from tidewright.stored_oracle import STORED_SQL
+from tidewright.stored_queries import STORED
+
+QUERIES, SQL = {**ENGINE, **STORED}, {**ENGINE_SQL, **STORED_SQL}
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
@@ -27,12 +31,12 @@ def test_the_flagship_query_has_rows(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["incremental_merge", "features_full", "windows_full_any", "topn_matches", "diff_verdict"])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_agree_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("orders", "customer", "lineitem", "part", "events"):
+    for t in ("orders", "customer", "lineitem", "part", "events", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(SQL[name])
     names = [d[0] for d in want.description]

@@ -75,27 +75,39 @@ def window_query(with_: str, values: list[str], rsi_columns: tuple[str, ...] = (
 
 
 VALUES = ["AdjClose", "Close", "MA_5", "MA_10"]
-ASKED = f"""q AS (
-  SELECT Ticker AS QueryTicker, 1 - back AS "Offset", {', '.join(f'{c.removesuffix("_Rebased")} / {c.removesuffix("_Rebased")}_last * 100 AS {c}' for c in MATCH)}
-  FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS back,
-          {', '.join(f'last_value({c.removesuffix("_Rebased")}) OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS {c.removesuffix("_Rebased")}_last' for c in MATCH)}
-        FROM f)
-  WHERE back <= {LOOKBACK})"""
+
+
+def asked(columns: tuple[str, ...] = MATCH, lookback: int = LOOKBACK) -> str:
+    """CTE q: the last days of each ticker of f, rebased to the last one."""
+    bases = {c: c.removesuffix("_Rebased") for c in columns}
+    whole = "OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""q AS (
+  SELECT Ticker AS QueryTicker, 1 - back AS "Offset", {', '.join(f'{b} / {b}_last * 100 AS {c}' for c, b in bases.items())}
+  FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS back, {', '.join(f'last_value({b}) {whole} AS {b}_last' for b in bases.values())} FROM f)
+  WHERE back <= {lookback})"""
+
+
+ASKED = asked()
 MATCHING = f"{BARS}, {featured('bars', 'AdjClose', 5, 10)}, {windowed('f', VALUES, BEFORE, AFTER, 'any', True)}, {ASKED}"
 
 
-def scored(metric: str, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> str:
+def scored(metric: str, weights: tuple[float, ...] = (1.0, 1.0, 1.0), columns: tuple[str, ...] = MATCH, lookback: int = LOOKBACK) -> str:
     """CTE s: every query, window and score."""
     one = {"mse": "avg(pow(w.{c} - q.{c}, 2))", "corr": "1 - coalesce(covar_pop(w.{c}, q.{c}) / nullif(stddev_pop(w.{c}) * stddev_pop(q.{c}), 0), 0)"}[metric]
-    total = " + ".join(f"{wt} * ({one.format(c=c)})" for wt, c in zip(weights, MATCH, strict=True))
+    total = " + ".join(f"{wt} * ({one.format(c=c)})" for wt, c in zip(weights, columns, strict=True))
     return f"""s AS (
   SELECT QueryTicker, w.Ticker AS MatchTicker, RefDate, w.Ticker || '_rebased.parquet' AS SourceFile, ({total}) / {sum(weights)} AS Score
-  FROM w JOIN q ON w."Offset" = q."Offset" GROUP BY QueryTicker, w.Ticker, RefDate HAVING count(*) = {LOOKBACK})"""
+  FROM w JOIN q ON w."Offset" = q."Offset" GROUP BY QueryTicker, w.Ticker, RefDate HAVING count(*) = {lookback}{"".join(f" AND count(q.{c}) = {lookback}" for c in columns)})"""
+
+
+def ranked(places: int = 9) -> str:
+    """CTE t: the best scores of each query."""
+    return f"""t AS (
+  SELECT *, row_number() OVER (PARTITION BY QueryTicker ORDER BY round(Score, {places}), SourceFile, MatchTicker, RefDate) AS Rank FROM s QUALIFY Rank <= {TOP})"""
 
 
 def topped(metric: str, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> str:
-    return f"""{MATCHING}, {scored(metric, weights)}, t AS (
-  SELECT *, row_number() OVER (PARTITION BY QueryTicker ORDER BY round(Score, 9), SourceFile, MatchTicker, RefDate) AS Rank FROM s QUALIFY Rank <= {TOP})"""
+    return f"{MATCHING}, {scored(metric, weights)}, {ranked()}"
 
 
 AFTERWARDS = f"""fut AS (
