@@ -110,10 +110,70 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+APART = "list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def plain_rounds(rounds: int) -> str:
+    """Nearest centroids and their means, a pair of tables for each round, in whole numbers; the mean is floored by its remainder."""
+    out = ""
+    for r in range(rounds + 1):
+        out += f"""
+, a{r} AS MATERIALIZED (
+  SELECT rid, c, d FROM (
+    SELECT rid, c.c, {APART} AS d, row_number() OVER (PARTITION BY rid ORDER BY {APART}, c.c) AS nth FROM kept k, c{r} c
+  ) WHERE nth = 1
+)"""
+        if r < rounds:
+            out += f"""
+, s{r} AS (
+  SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT a.c, unnest(k.v) AS x, unnest(range(64)) AS i FROM a{r} a JOIN kept k USING (rid)) GROUP BY c, i
+), m{r} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY c
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (c)
+)"""
+    return out
+
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT 40)
+){plain_rounds(5)}
+SELECT k.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a5 a JOIN kept k USING (rid) JOIN c5 c ON a.c = c.c
+"""
+
+OP12 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS i, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS j,
+         CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS r
+  FROM t
+), parts AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN r < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(i, j)], '') AS p, array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS m, array_to_string(u[greatest(i, j) + 1:], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 SQL: dict[str, str] = {
     "op2_exact_dedup": OP2,
     "op3_chat": OP3,
     "op7_warc": OP7,
     "op9_mixing": OP9,
     "op10_decontaminate": OP10,
+    "op11_clusters": OP11,
+    "op12_fill_middle": OP12,
 }

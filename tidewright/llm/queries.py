@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from .chat import conversation_digests, formatted_turns
 from .decontaminate import benchmark_hits
 from .exact_dedup import exact_groups
+from .fill_middle import filled_in_middle, restored
 from .language import fit_languages, held_out, language_mixtures
 from .mixing import mixed
 from .passages import repeated_passages
+from .quality import fit_quality, quality_scores, set_aside
 from .shared import new_folder, table
 from .simhash import near_duplicates
 from .token_store import stored_tokens
 from .toxicity import fit_toxicity, toxicity_scores
 from .warc import export_warc, original_records, read_archive, write_archive
+from .yinyang import clustered
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +91,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustered(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = filled_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~set_aside(F.col("doc_id"))))
+    return quality_scores(docs, model).select("doc_id", set_aside(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,4 +126,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_clusters": op11_clusters,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_quality": op13_quality,
 }
