@@ -1,7 +1,8 @@
 """Analog search: a query's last days against all reference windows, the closest ones, and what followed them.
 
 Window points meet query points by Offset, so windows are scanned once for all queries, and scoring is a hash
-aggregate whose partial sums shrink each window to one row per query before anything is shuffled.
+aggregate whose partial sums shrink each window to one row per query before anything is shuffled.  For the best matches
+alone, or for many queries, see analogs.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rebased
 from ..schema import finite, require
+from . import analogs
+from .analogs import METRICS, parsed_weights
 from .indicators import by_date, moving_average
 
-METRICS = ("mse", "corr")
-#: Queries whose points are broadcast at once; more are searched block by block.
-QUERY_BLOCK = 2_000
 DEFAULT_COLUMNS = ("AdjClose_Rebased", "MA_20_Rebased", "MA_50_Rebased", "MA_200_Rebased")
 WINDOW = ["SourceFile", "MatchTicker", "RefDate"]
 
@@ -26,14 +26,6 @@ def base_of(name: str) -> str:
     return name.removesuffix("_Rebased")
 
 
-def parsed_weights(weights: Sequence[float] | None, columns: Sequence[str]) -> list[float]:
-    if weights is None or not len(weights):
-        return [1.0] * len(columns)
-    if len(weights) != len(columns):
-        raise ValueError(f"{len(weights)} weights for {len(columns)} columns")
-    return [float(w) for w in weights]
-
-
 def query_averages(df: DataFrame, price: str = "AdjClose", windows: Sequence[int] = (20, 50, 200)) -> DataFrame:
     """Moving averages for a fetched query: a gap in the price is a gap in the average (rows are not dropped first)."""
     return df.withColumns({f"MA_{w}": moving_average(F.col(price), w, by_date()) for w in windows})
@@ -63,13 +55,19 @@ def rebased_to_last(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(finite(last[c]), rebased(F.col(base_of(c)), last[c])) for c in columns})
 
 
+def last_rows(df: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each ticker, with __back (1 for the last one); places that df already has are used."""
+    counted = "__rn" in df.columns
+    back = F.col("__n") - F.col("__rn") if counted else F.row_number().over(Window.partitionBy("Ticker").orderBy(F.col("Date").desc()))
+    return df.withColumn("__back", back.cast("int")).where(F.col("__back") <= n)
+
+
 def query_points(df: DataFrame, lookback: int, columns: Sequence[str] = DEFAULT_COLUMNS) -> DataFrame:
     """QueryTicker, Offset (1 - lookback to 0), one column each: the last ``lookback`` rows of each ticker, rebased to the last one.
 
     A ticker with too few rows, or with a value missing, has no points; query_status says why.
     """
-    back = F.row_number().over(Window.partitionBy("Ticker").orderBy(F.col("Date").desc()))
-    rows = rebased_to_last(df, columns).withColumn("__back", back).where(F.col("__back") <= lookback)
+    rows = rebased_to_last(last_rows(df, lookback), columns)
     counts = Window.partitionBy("Ticker")
     fine = F.count("*").over(counts) == lookback
     for c in columns:
@@ -79,8 +77,7 @@ def query_points(df: DataFrame, lookback: int, columns: Sequence[str] = DEFAULT_
 
 def query_status(df: DataFrame, lookback: int, columns: Sequence[str] = DEFAULT_COLUMNS) -> DataFrame:
     """QueryTicker, status: ok, short (too few rows), or missing (a value or a usable last value is)."""
-    back = F.row_number().over(Window.partitionBy("Ticker").orderBy(F.col("Date").desc()))
-    rows = rebased_to_last(df, columns).withColumn("__back", back).where(F.col("__back") <= lookback)
+    rows = rebased_to_last(last_rows(df, lookback), columns)
     counts = rows.groupBy(F.col("Ticker").alias("QueryTicker")).agg(F.count("*").alias("n"), *[F.count(c).alias(f"__n{k}") for k, c in enumerate(columns)])
     whole = F.lit(True)
     for k in range(len(columns)):
@@ -123,28 +120,19 @@ def scores(queries: DataFrame, windows: DataFrame, lookback: int, columns: Seque
     weights = parsed_weights(weights, columns)
     total = sum(weights) or 1.0
     points = reference_points(windows, columns, 1 - lookback, 0)
+    if queries.select("QueryTicker").distinct().count() > analogs.QUERY_BLOCK:
+        return match_in_arrays(queries, windows, lookback, columns, metric, weights)
     asked = queries.select("QueryTicker", "Offset", *[F.col(c).alias(f"__q_{c}") for c in columns])
-    n = asked.select("QueryTicker").distinct().count()
-    if n > QUERY_BLOCK:
-        blocks = -(-n // QUERY_BLOCK)
-        asked = asked.withColumn("__block", F.pmod(F.xxhash64("QueryTicker"), F.lit(blocks)))
-        parts = [asked.where(F.col("__block") == k).drop("__block") for k in range(blocks)]
-    else:
-        parts = [asked]
-    out = None
-    for part in parts:
-        met = points.join(F.broadcast(part), "Offset")  # QUERY_BLOCK x lookback points at most, about
-        sums = met.groupBy("QueryTicker", *WINDOW).agg(
-            F.count("*").alias("__n"),
-            *[F.count(c).alias(f"__n{k}") for k, c in enumerate(columns)],
-            *[distance(metric, F.col(c), F.col(f"__q_{c}")).alias(f"__s{k}") for k, c in enumerate(columns)],
-        )
-        fine, score = F.col("__n") == lookback, F.lit(0.0)
-        for k, w in enumerate(weights):
-            fine, score = fine & (F.col(f"__n{k}") == lookback), score + F.lit(w) * F.col(f"__s{k}")
-        one = sums.where(fine).select("QueryTicker", *WINDOW, (score / total).alias("Score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    met = points.join(F.broadcast(asked), "Offset")  # QUERY_BLOCK x lookback points at most
+    sums = met.groupBy("QueryTicker", *WINDOW).agg(
+        F.count("*").alias("__n"),
+        *[F.count(c).alias(f"__n{k}") for k, c in enumerate(columns)],
+        *[distance(metric, F.col(c), F.col(f"__q_{c}")).alias(f"__s{k}") for k, c in enumerate(columns)],
+    )
+    fine, score = F.col("__n") == lookback, F.lit(0.0)
+    for k, w in enumerate(weights):
+        fine, score = fine & (F.col(f"__n{k}") == lookback), score + F.lit(w) * F.col(f"__s{k}")
+    return sums.where(fine).select("QueryTicker", *WINDOW, (score / total).alias("Score"))
 
 
 def top_matches(scored: DataFrame, n: int, places: int | None = None) -> DataFrame:
@@ -181,40 +169,5 @@ def plot_frame(queries: DataFrame, future: DataFrame, column: str, top: int = 5)
 
 
 def match_in_arrays(queries: DataFrame, windows: DataFrame, lookback: int, columns: Sequence[str] = DEFAULT_COLUMNS, metric: str = "mse", weights: Sequence[float] | None = None) -> DataFrame:
-    """The same as scores, for large query sets: a window's points in one row, scored against all queries of a block by numpy."""
-    import numpy as np
-    import pandas as pd
-
-    weights = np.array(parsed_weights(weights, columns))
-    total = float(weights.sum()) or 1.0
-    asked = queries.groupBy("QueryTicker").agg(F.array_sort(F.collect_list(F.struct("Offset", *columns))).alias("p"))
-    rows = asked.select("QueryTicker", *[F.col("p")[c].alias(c) for c in columns]).orderBy("QueryTicker").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: use scores")
-    names = [r[0] for r in rows]
-    known = np.array([[r[c] for c in columns] for r in rows], float).reshape(len(rows), len(columns), lookback)
-    points = reference_points(windows, columns, 1 - lookback, 0)
-    packed = points.groupBy(*WINDOW).agg(F.array_sort(F.collect_list(F.struct("Offset", *columns))).alias("p")).where(F.size("p") == lookback)
-    for c in columns:
-        packed = packed.where(~F.exists(F.col("p")[c], lambda x: x.isNull()))
-    packed = packed.select(*WINDOW, *[F.col("p")[c].alias(c) for c in columns])
-
-    def score(frames):
-        for frame in frames:
-            if not len(names) or not len(frame):
-                continue
-            got = np.stack([np.stack(frame[c].to_numpy()) for c in columns], axis=1)
-            for k, name in enumerate(names):
-                if metric == "mse":
-                    each = ((got - known[k]) ** 2).mean(axis=2)
-                else:
-                    a, b = got - got.mean(axis=2, keepdims=True), known[k] - known[k].mean(axis=1, keepdims=True)
-                    below = np.sqrt((a * a).sum(axis=2) * (b * b).sum(axis=1))
-                    each = 1 - np.divide((a * b).sum(axis=2), below, out=np.zeros_like(below), where=below > 0)
-                out = frame[WINDOW].copy()
-                out.insert(0, "QueryTicker", name)
-                out["Score"] = (each * weights).sum(axis=1) / total
-                yield pd.DataFrame(out)
-
-    kind = dict(packed.dtypes)
-    return packed.mapInPandas(score, f"QueryTicker string, SourceFile string, MatchTicker string, RefDate {kind['RefDate']}, Score double")
+    """The same as scores, by numpy in blocks of queries and windows, for any number of queries."""
+    return analogs.all_scores(queries, analogs.Stored(windows), analogs.search_of(lookback, columns, metric, weights))

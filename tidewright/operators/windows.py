@@ -1,6 +1,8 @@
 """Event windows: every row of a ticker as a reference day, with the rows before and after it rebased to 100.
 
 A window is collected by a ROWS frame, so the expansion costs no join; only columns that the output needs are in it.
+Long series can be cut into blocks with a halo first, so that their reference days are dealt over many tasks before
+anything is expanded.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rebased
 from ..schema import arranged, require, roles
+from .blocks import cut, in_block, own
 from .indicators import by_date
 
 POLICIES = ("none", "any", "all")
@@ -32,29 +35,26 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def event_windows(df: DataFrame, before: int, after: int, policy: str = "all", full: bool = False) -> DataFrame:
+def event_windows(df: DataFrame, before: int, after: int, policy: str = "all", full: bool = False, block: int | None = None) -> DataFrame:
     """Ticker, RefDate, Offset, Date, <column>_Rebased..., RSI...: windows [-before, after] around each reference day.
 
     Only days with all of ``before`` rows before and ``after`` rows after them are references, and only if some value
     column is neither null nor 0 there; columns that are not so are null throughout the window.
     policy: which rows are dropped -- "any": with some rebased column null, "all": with all of them null, "none".
     full: windows that would lose a row are dropped whole.
+    block: own rows of a block, for series that no task should hold whole; None where every series fits one.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {POLICIES}")
     require(df, ["Ticker", "Date"])
     values, rsi = roles(df)
     size = before + after + 1
-    order = by_date()
-    frame = order.rowsBetween(-before, after)
-    rows = df.select("Ticker", "Date", *values, *rsi)
+    block = block and max(block, size)
+    frame = in_block(block).rowsBetween(-before, after)
+    rows = cut(df.select("Ticker", "Date", *values, *rsi, *[c for c in ("__rn", "__n") if c in df.columns]), before, after, block)
     if full and policy == "any":  # counts tell before anything is collected
         rows = rows.withColumns({f"__n_{k}": F.count(c).over(frame) for k, c in enumerate(values)})
-    rows = (
-        rows.withColumns({"__rn": F.row_number().over(order) - 1, "__n": F.count("*").over(Window.partitionBy("Ticker"))})
-        .withColumn("__window", F.collect_list(F.struct("Date", *values, *rsi)).over(frame))
-        .where((F.col("__rn") >= before) & (F.col("__rn") < F.col("__n") - after))
-    )
+    rows = rows.withColumn("__window", F.collect_list(F.struct("Date", *values, *rsi)).over(frame)).where(own(block) & (F.col("__rn") >= before) & (F.col("__rn") < F.col("__n") - after))
     if values:
         rows = rows.where(_any([valid_reference(F.col(c)) for c in values]))
     if full and policy == "any":

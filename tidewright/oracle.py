@@ -160,12 +160,12 @@ ROWS: dict[str, str] = {
     "ma_single": f"WITH {BARS} SELECT Ticker, Date, {r(ma('Close', 20), 'MA_20')} FROM bars",
     "ma_multi": f"WITH {BARS} SELECT Ticker, Date, {', '.join(r(ma('Close', n), f'MA_{n}') for n in (20, 50, 200))} FROM bars",
     "ma_with_gaps": f"WITH {GAPS} SELECT Ticker, Date, {', '.join(r(ma('AdjClose', n), f'MA_{n}') for n in (3, 5))} FROM gaps",
-    "ewm_gain_loss": f"WITH RECURSIVE {BARS}, {smoothed('bars', 14)} SELECT Ticker, Date, round(g, 4) AS gain, round(l, 4) AS loss FROM s",
+    **{n: f"WITH RECURSIVE {BARS}, {smoothed('bars', 14)} SELECT Ticker, Date, round(g, 4) AS gain, round(l, 4) AS loss FROM s" for n in ("ewm_gain_loss", "ewm_in_blocks")},
     "rsi": f"WITH RECURSIVE {BARS}, {smoothed('bars', 14)} SELECT Ticker, Date, {r(rsi(14), 'RSI_14')} FROM s",
     "rsi_pandas_route": f"WITH RECURSIVE {BARS}, {smoothed('bars', 14)} SELECT Ticker, Date, {r(rsi(14), 'RSI_14')} FROM s",
     "rsi_flat": f"""WITH {BARS} SELECT Ticker, Date, CASE WHEN row_number() OVER (PARTITION BY Ticker ORDER BY Date) > 14 THEN 100e0 END AS RSI_14 FROM bars""",
-    "features_full": f"""WITH RECURSIVE {GAPS}, {featured('gaps', 'AdjClose', 20, 50, 200)}, {smoothed('gaps', 14)}
-        SELECT {FULL_FEATURES} FROM f JOIN s ON f.Ticker = s.Ticker AND f.Date = s.Date""",
+    **dict.fromkeys(("features_full", "features_in_blocks"), f"""WITH RECURSIVE {GAPS}, {featured('gaps', 'AdjClose', 20, 50, 200)}, {smoothed('gaps', 14)}
+        SELECT {FULL_FEATURES} FROM f JOIN s ON f.Ticker = s.Ticker AND f.Date = s.Date"""),
     "ordinal": f"WITH {BARS} SELECT Ticker, Date, row_number() OVER (PARTITION BY Ticker ORDER BY Date) - 1 AS rn, count(*) OVER (PARTITION BY Ticker) AS n FROM bars",
     **{
         f"windows_{'full_' if full else ''}{policy}": window_query(f"{GAPS}, {windowed('gaps', GAP_VALUES, 4, 2, policy, full)}", GAP_VALUES)
@@ -177,8 +177,8 @@ ROWS: dict[str, str] = {
         ["AdjClose", "Close", "MA_5"],
         ("RSI_3",),
     ),
-    "windows_profile": f"""WITH {BARS}, {featured('bars', 'AdjClose', 20, 50, 200)}, {windowed('f', ['AdjClose', 'Close', 'MA_20', 'MA_50', 'MA_200'], 75, 25, 'any', True)}
-        SELECT "Offset", count(*) AS n, {', '.join(r(f'avg({v}_Rebased)', f'avg_{v}_Rebased') for v in ('AdjClose', 'Close', 'MA_20', 'MA_50', 'MA_200'))} FROM w GROUP BY 1""",
+    **dict.fromkeys(("windows_profile", "windows_in_blocks"), f"""WITH {BARS}, {featured('bars', 'AdjClose', 20, 50, 200)}, {windowed('f', ['AdjClose', 'Close', 'MA_20', 'MA_50', 'MA_200'], 75, 25, 'any', True)}
+        SELECT "Offset", count(*) AS n, {', '.join(r(f'avg({v}_Rebased)', f'avg_{v}_Rebased') for v in ('AdjClose', 'Close', 'MA_20', 'MA_50', 'MA_200'))} FROM w GROUP BY 1"""),
     "brand_profile": f"""WITH {BRAND_TICKS}, {DAYS}, {featured('bars', 'AdjClose', 20)}, {windowed('f', ['AdjClose', 'Close', 'MA_20'], 10, 5, 'all', False)}
         SELECT Ticker, "Offset", count(*) AS n, {r('avg(AdjClose_Rebased)', 'avg_adj')}, {r('avg(MA_20_Rebased)', 'avg_ma')} FROM w GROUP BY 1, 2""",
     "query_vectors": f"""WITH {BARS}, {featured('bars', 'AdjClose', 5, 10)}, {ASKED} SELECT QueryTicker, "Offset", {', '.join(r(c) for c in MATCH)} FROM q""",
@@ -197,7 +197,13 @@ ROWS: dict[str, str] = {
     "score_mse_arrays": f"WITH {MATCHING}, {scored('mse')} {PROFILE}",
     "topn_matches": f"WITH {topped('mse')} {BEST}",
     "topn_corr_weighted": f"WITH {topped('corr', WEIGHTS)} {BEST}",
-    "futures": f"WITH {topped('mse')}, {AFTERWARDS} SELECT QueryTicker, MatchTicker, RefDate, FutureOffset, {', '.join(r(c) for c in MATCH)} FROM fut",
+    **dict.fromkeys(("futures", "futures_in_blocks"), f"WITH {topped('mse')}, {AFTERWARDS} SELECT QueryTicker, MatchTicker, RefDate, FutureOffset, {', '.join(r(c) for c in MATCH)} FROM fut"),
+    "score_many_queries": f"""WITH {BARS}, {featured('bars', 'AdjClose', 5, 10)}, {windowed('f', VALUES, BEFORE, AFTER, 'any', True)}, q AS (
+          SELECT e.Ticker || ' ' || strftime(e.Date, '%Y-%m-%d') AS QueryTicker, k AS "Offset", {', '.join(f"p.{c.removesuffix('_Rebased')} / e.{c.removesuffix('_Rebased')} * 100 AS {c}" for c in MATCH)}
+          FROM (SELECT *, unnest(range({1 - LOOKBACK}, 1)) AS k FROM o WHERE dayofyear(Date) % 10 = 0 AND rn >= {LOOKBACK - 1}) e JOIN o p ON p.Ticker = e.Ticker AND p.rn = e.rn + e.k
+          QUALIFY count(p.MA_10) OVER (PARTITION BY e.Ticker, e.Date) = {LOOKBACK}
+        ), {scored('mse')}, t AS (SELECT *, row_number() OVER (PARTITION BY QueryTicker ORDER BY round(Score, {SCORE_PLACES}), SourceFile, MatchTicker, RefDate) AS Rank FROM s QUALIFY Rank <= 2)
+        SELECT QueryTicker, Rank, MatchTicker, RefDate, round(Score, {SCORE_PLACES}) AS Score FROM t""",
     "futures_positional": f"""WITH {GAPS}, {windowed('gaps', ['AdjClose'], 2, 4, 'any', False)}, c AS (SELECT Ticker, RefDate FROM w WHERE "Offset" = 0)
         SELECT 'Q' AS QueryTicker, w.Ticker AS MatchTicker, w.RefDate, row_number() OVER (PARTITION BY w.Ticker, w.RefDate ORDER BY "Offset") AS FutureOffset, {r('AdjClose_Rebased')}
         FROM w JOIN c ON w.Ticker = c.Ticker AND w.RefDate = c.RefDate WHERE "Offset" BETWEEN 1 AND 4""",
@@ -228,11 +234,11 @@ ROWS: dict[str, str] = {
 DATED: dict[tuple[str, ...], tuple[str, ...]] = {
     ("Date",): (
         *("normalize_prices", "bars", "brand_bars", "adjusted_only", "dedup_first", "dedup_last", "incremental_merge", "union_by_name", "drop_null_price", "delta"),
-        *("ma_single", "ma_multi", "ma_with_gaps", "ewm_gain_loss", "rsi", "rsi_pandas_route", "rsi_flat", "features_full", "ordinal", "csv_sample"),
+        *("ma_single", "ma_multi", "ma_with_gaps", "ewm_gain_loss", "ewm_in_blocks", "rsi", "rsi_pandas_route", "rsi_flat", "features_full", "features_in_blocks", "ordinal", "csv_sample"),
     ),
     ("local",): ("local_midnight",),
     ("RefDate", "Date"): ("windows_none", "windows_any", "windows_all", "windows_full_any", "windows_full_all", "windows_with_rsi"),
-    ("RefDate",): ("window_complete", "topn_matches", "topn_corr_weighted", "futures", "futures_positional", "all_scores"),
+    ("RefDate",): ("window_complete", "topn_matches", "topn_corr_weighted", "futures", "futures_in_blocks", "score_many_queries", "futures_positional", "all_scores"),
 }
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import Features, Fetch, Match, Windows
 from ..functions.scalars import parse_list, to_date
-from ..operators import compare, indicators, match, prep, report, windows
+from ..operators import analogs, compare, indicators, match, prep, report, windows
+from ..operators.blocks import BLOCK
 from ..sinks import tables
 from ..sources import files, quotes
 
@@ -72,7 +73,7 @@ def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, *
 def features_stage(spark: SparkSession, config: Features, write: bool = True) -> DataFrame:
     path = config.input or files.first_existing(spark, "data_all/history_all_parquet", "data_all/history_all.parquet")
     price = "AdjClose" if config.use_adjclose else "Close"
-    out = indicators.add_features(files.read_features_input(spark, path), price, config.ma, config.rsi)
+    out = indicators.add_features(files.read_features_input(spark, path), price, config.ma, config.rsi, block=BLOCK)
     if write:
         tables.write_parquet(out, config.out, config.partition_by)
         if config.csv:
@@ -82,7 +83,7 @@ def features_stage(spark: SparkSession, config: Features, write: bool = True) ->
 
 def windows_stage(spark: SparkSession, config: Windows, write: bool = True) -> DataFrame:
     data = files.load_data(spark, config.input or files.first_existing(spark, "features.parquet", "features.csv"))
-    out = windows.event_windows(data, config.before, config.after, config.drop_rows_if_nan, config.require_full_window)
+    out = windows.event_windows(data, config.before, config.after, config.drop_rows_if_nan, config.require_full_window, BLOCK)
     if write:
         tables.save_windows(out, config.out, config.per_ticker, config.format, config.float_dp, config.csv_head, config.csv_tail)
     return out
@@ -104,11 +105,12 @@ def match_stage(spark: SparkSession, config: Match, provider: quotes.Provider |
         raise ValueError("queries need features or a provider")
     reference = files.read_windows(spark, config.ref_dir, columns)
     asked = match.query_points(source, config.lookback, columns)
-    best = match.top_matches(match.scores(asked, reference, config.lookback, columns, config.metric, weights), config.topn)
+    search = analogs.search_of(config.lookback, columns, config.metric, weights, config.horizon, config.topn)
+    best = analogs.closest(asked, analogs.Stored(reference), search)
     if write:  # what several files and the futures read is computed once
         best = kept(best, config.out_dir)
-    found = match.with_run(best, config.lookback, config.horizon, config.metric, columns)
-    after = match.futures(best, reference, config.horizon, columns)
+    found = match.with_run(best.drop("Future"), config.lookback, config.horizon, config.metric, columns)
+    after = analogs.futures_of(best)
     if write:
         tables.save_matches(found, after, config.out_dir)
     return found, after, match.query_status(source, config.lookback, columns)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .functions.ewm import recursive_mean
-from .operators import compare, indicators, match, prep, report, windows
+from .functions.ewm import recursive_means
+from .operators import analogs, blocks, compare, indicators, match, prep, report, windows
 from .plans.bars import bars, bars_of, bars_with_gaps, brand_ticks, table, ticks
 from .sinks.tables import head_and_tail
 
@@ -37,7 +37,7 @@ def shown(df: DataFrame, places: int = PLACES) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.add_features(bars(spark, sf_dir), "AdjClose", (5, 10), ())
+    return indicators.add_features(bars(spark, sf_dir), "AdjClose", (5, 10), (), places=True)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,10 @@ def _scores(spark: SparkSession, sf_dir: str, metric: str = "mse", weights=None)
     return match.scores(_asked(spark, sf_dir), _windows(spark, sf_dir), LOOKBACK, MATCH, metric, weights)
 
 
-def _top(spark: SparkSession, sf_dir: str, metric: str = "mse", weights=None) -> DataFrame:
-    return match.top_matches(_scores(spark, sf_dir, metric, weights), TOP, 9)
+def _top(spark: SparkSession, sf_dir: str, metric: str = "mse", weights=None, horizon: int = 0, block: int | None = None) -> DataFrame:
+    """The best windows, found in blocks of series, and what followed them."""
+    search = analogs.search_of(LOOKBACK, MATCH, metric, weights, horizon, TOP, 9)
+    return analogs.closest(_asked(spark, sf_dir), analogs.OfSeries(_features(spark, sf_dir), BEFORE, AFTER, block=block), search)
 
 
 def _gap_windows(policy: str, full: bool) -> Query:
@@ -127,11 +129,15 @@ def averages_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(match.query_averages(bars_with_gaps(spark, sf_dir), "AdjClose", (3, 5)).select("Ticker", "Date", "MA_3", "MA_5"))
 
 
-def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = indicators.by_date()
-    changes = bars(spark, sf_dir).withColumn("d", indicators.delta(F.col("AdjClose"), order))
-    changes = changes.withColumns({"g": scalars.gain(F.col("d")), "l": scalars.loss(F.col("d"))})
-    return shown(changes.select("Ticker", "Date", recursive_mean(F.col("g"), 1 / 14, order).alias("gain"), recursive_mean(F.col("l"), 1 / 14, order).alias("loss")), 4)
+def smoothed(size: int | None) -> Query:
+    """Smoothed gains and losses, in blocks of so many rows or by whole series."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = indicators.changes("AdjClose", blocks.in_block(size), blocks.cut(bars(spark, sf_dir), 1, 0, size))
+        means = recursive_means(rows, {"gain": (F.col("__g"), 1 / 14), "loss": (F.col("__l"), 1 / 14)}, size)
+        return shown(means.select("Ticker", "Date", "gain", "loss"), 4)
+
+    return run
 
 
 def rsi(flat: bool = False, route: str = "jvm") -> Query:
@@ -143,8 +149,8 @@ def rsi(flat: bool = False, route: str = "jvm") -> Query:
     return run
 
 
-def features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(indicators.add_features(bars_with_gaps(spark, sf_dir), "AdjClose", (20, 50, 200), 14))
+def features_full(spark: SparkSession, sf_dir: str, block: int | None = None) -> DataFrame:
+    return shown(indicators.add_features(bars_with_gaps(spark, sf_dir), "AdjClose", (20, 50, 200), 14, block=block))
 
 
 def ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +162,10 @@ def windows_with_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(windows.event_windows(found, 3, 2, "any", False))
 
 
-def windows_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def windows_profile(spark: SparkSession, sf_dir: str, block: int | None = None) -> DataFrame:
     """The preset's windows, [-75, 25], summed up by offset."""
-    found = indicators.add_features(bars(spark, sf_dir).select("Ticker", "Date", "Close", "AdjClose"), "AdjClose", (20, 50, 200), ())
-    wide = windows.event_windows(found, 75, 25, "any", True)
+    found = indicators.add_features(bars(spark, sf_dir).select("Ticker", "Date", "Close", "AdjClose"), "AdjClose", (20, 50, 200), (), block=block, places=True)
+    wide = windows.event_windows(found, 75, 25, "any", True, block)
     return shown(wide.groupBy("Offset").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"avg_{c}") for c in wide.columns if c.endswith("_Rebased")]))
 
 
@@ -195,10 +201,20 @@ def scores_profile(metric: str, weights=None) -> Query:
 
 
 def arrays_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.match_in_arrays(_asked(spark, sf_dir), _windows(spark, sf_dir), LOOKBACK, MATCH)
+    found = analogs.all_scores(_asked(spark, sf_dir), analogs.OfSeries(_features(spark, sf_dir), BEFORE, AFTER), analogs.search_of(LOOKBACK, MATCH))
     return shown(found.groupBy("QueryTicker", "MatchTicker").agg(F.count("*").alias("n"), F.avg("Score").alias("avg_score"), F.min("Score").alias("min_score"), F.max("Score").alias("max_score")), SCORE_PLACES)
 
 
+def many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth day's last rows as a query of its own, against all windows: a query set of any size, block by block."""
+    found = _features(spark, sf_dir)
+    ends = windows.event_windows(found, LOOKBACK - 1, 0, "any", True).where(F.dayofyear("RefDate") % 10 == 0)
+    asked = ends.select(F.concat_ws(" ", "Ticker", F.date_format("RefDate", "yyyy-MM-dd")).alias("QueryTicker"), "Offset", *MATCH)
+    search = analogs.search_of(LOOKBACK, MATCH, top=2, places=SCORE_PLACES)
+    best = analogs.closest(asked, analogs.OfSeries(found, BEFORE, AFTER), search)
+    return shown(best.select("QueryTicker", "Rank", "MatchTicker", "RefDate", "Score"), SCORE_PLACES)
+
+
 def top(metric: str, weights=None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return shown(_top(spark, sf_dir, metric, weights).select("QueryTicker", "Rank", "MatchTicker", "RefDate", "SourceFile", "Score"))
@@ -207,7 +223,7 @@ def top(metric: str, weights=None) -> Query:
 
 
 def futures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(match.futures(_top(spark, sf_dir), _windows(spark, sf_dir), HORIZON, MATCH))
+    return shown(analogs.futures_of(_top(spark, sf_dir, horizon=HORIZON)))
 
 
 def futures_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +239,7 @@ def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plot_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = match.futures(_top(spark, sf_dir), _windows(spark, sf_dir), HORIZON, MATCH)
+    after = analogs.futures_of(_top(spark, sf_dir, horizon=HORIZON))
     return shown(match.plot_frame(_asked(spark, sf_dir), after, "AdjClose_Rebased", 5))
 
 
@@ -302,11 +318,13 @@ QUERIES: dict[str, Query] = {
     "ma_single": averages(20),
     "ma_multi": averages(20, 50, 200),
     "ma_with_gaps": averages_with_gaps,
-    "ewm_gain_loss": smoothed,
+    "ewm_gain_loss": smoothed(None),
+    "ewm_in_blocks": smoothed(97),
     "rsi": rsi(),
     "rsi_pandas_route": rsi(route="pandas"),
     "rsi_flat": rsi(flat=True),
     "features_full": features_full,
+    "features_in_blocks": lambda spark, sf_dir: features_full(spark, sf_dir, 256),
     "ordinal": ordinal,
     "windows_none": _gap_windows("none", False),
     "windows_any": _gap_windows("any", False),
@@ -315,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "windows_full_all": _gap_windows("all", True),
     "windows_with_rsi": windows_with_rsi,
     "windows_profile": windows_profile,
+    "windows_in_blocks": lambda spark, sf_dir: windows_profile(spark, sf_dir, 256),
     "brand_profile": brand_profile,
     "query_vectors": query_vectors,
     "query_status": query_status,
@@ -326,6 +345,8 @@ QUERIES: dict[str, Query] = {
     "topn_matches": top("mse"),
     "topn_corr_weighted": top("corr", WEIGHTS),
     "futures": futures,
+    "futures_in_blocks": lambda spark, sf_dir: shown(analogs.futures_of(_top(spark, sf_dir, horizon=HORIZON, block=256))),
+    "score_many_queries": many_queries,
     "futures_positional": futures_positional,
     "all_scores": all_scores,
     "plot_frame": plot_frame,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import scalars
-from .operators import indicators, match, prep, report, windows
+from .operators import analogs, indicators, match, prep, report, windows
 from .plans import stages
 from .plans.bars import bars, bars_with_gaps, table, ticks
 from .queries import AFTER, BEFORE, HORIZON, LOOKBACK, MATCH, TOP, Query, shown
@@ -416,14 +416,10 @@ def match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the match at the preset's size -----------------------------------------------------------------------------------
 
 
-def wide_match(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = indicators.add_features(bars(spark, sf_dir).select("Ticker", "Date", "AdjClose"), "AdjClose", (20, 50, 200), ())
-    return match.query_points(found, 75, WIDE), windows.event_windows(found, 75, 25, "any", True)
-
-
 def topn_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, rows = wide_match(spark, sf_dir)
-    best = match.top_matches(match.scores(asked, rows, 75, WIDE), TOP, 6)
+    found = indicators.add_features(bars(spark, sf_dir).select("Ticker", "Date", "AdjClose"), "AdjClose", (20, 50, 200), (), places=True)
+    search = analogs.search_of(75, WIDE, top=TOP, places=6)
+    best = analogs.closest(match.query_points(found, 75, WIDE), analogs.OfSeries(found, 75, 25), search)
     return shown(best.select("QueryTicker", "Rank", "MatchTicker", "RefDate", "Score"), 3)
 
 
