@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from .config import Features, Fetch, Match, Windows, configured, from_flags
 from .plans import stages
 from .session import session
-from .sources.quotes import FolderProvider, NetworkProvider, Provider
+from .sources.quotes import FolderProvider, NetworkProvider, Provider, network
 
 
 def provider_of(argv: list[str]) -> tuple[Provider, list[str]]:
@@ -36,6 +36,8 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     spark = spark or session()
     provider, rest = provider_of(rest)
     try:
+        if name in ("fetch", "run") and isinstance(provider, NetworkProvider):
+            network()
         if name == "fetch":
             stages.fetch_stage(spark, from_flags(Fetch, rest), provider)
         elif name == "features":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,13 @@ class Fetched:
     missing: DataFrame
 
 
-def kept(df: DataFrame, out: str) -> DataFrame:
-    """df as a table of its own, in the folder for checkpoints or, without one, beside the output: computed once, and safe from lost executors."""
+def kept(df: DataFrame, out: str, dry: bool = False) -> DataFrame:
+    """df as a table of its own, in the folder for checkpoints or, without one, beside the output: computed once, and safe from lost executors.
+
+    dry: nothing is written; df is held in memory, and what is lost there is computed again.
+    """
+    if dry:
+        return df.persist()
     spark = df.sparkSession
     folder = f"{spark.sparkContext.getCheckpointDir() or f'{out}/_work'}/fetch-{uuid.uuid4().hex}"
     df.write.parquet(folder)
@@ -44,7 +50,7 @@ def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, *
     if config.validate_only:
         return None
     began = time.time()
-    fetched = kept(quotes.fetch(spark, universe, provider, "fetched", config.batch_size, **options).withColumn("seq", F.monotonically_increasing_id()), config.out)
+    fetched = kept(quotes.fetch(spark, universe, provider, "fetched", config.batch_size, **options).withColumn("seq", F.monotonically_increasing_id()), config.out, config.dry_run)
     status = fetched.where("status IS NOT NULL").select(F.col("Ticker").alias("ticker"), "status")
     raw = fetched.where("status IS NULL").drop("status")
     new = prep.normalize_prices(raw, F.col("Ticker"), "seq")
@@ -52,7 +58,7 @@ def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, *
         new = prep.adjusted_only(new)
     stored = files.read_history(spark, config.out) if config.incremental else None
     history = new if stored is None else prep.incremental_merge(stored, new.withColumn("seq", F.lit(0)), "seq")
-    if stored is not None:  # what is read is about to be replaced
+    if stored is not None and not config.dry_run:  # what is read is about to be replaced
         history = kept(history, config.out)
     if config.actions and not config.dry_run:
         paid = {t: kept(quotes.fetch(spark, universe, provider, f"{t}_fetched", config.batch_size, **options), config.out) for t in ("dividends", "splits")}
@@ -99,8 +105,10 @@ def match_stage(spark: SparkSession, config: Match, provider: quotes.Provider |
         source = files.read_query_features(spark, config.query_features_dir, watch, bases)
     elif provider is not None:
         universe = watch.groupBy(F.col("Ticker").alias("ticker")).agg(F.min("ord").alias("ord"))
-        raw = quotes.fetch(spark, universe, provider).withColumn("seq", F.monotonically_increasing_id())
-        source = match.query_averages(match.recent(prep.normalize_prices(raw, F.col("Ticker"), "seq"), match.days_needed(config.lookback)))
+        wanted = match.days_needed(config.lookback)
+        since = (datetime.now(UTC) - timedelta(days=match.calendar_days(wanted))).date()
+        raw = quotes.fetch(spark, universe, provider, since=since.isoformat()).withColumn("seq", F.monotonically_increasing_id())
+        source = match.query_averages(match.recent(prep.normalize_prices(raw, F.col("Ticker"), "seq"), wanted))
     else:
         raise ValueError("queries need features or a provider")
     reference = files.read_windows(spark, config.ref_dir, columns)

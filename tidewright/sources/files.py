@@ -5,6 +5,9 @@ Spark keeps no row order of its own, so readers whose result depends on it add `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,18 @@ from ..operators.prep import clean_tickers, coerced, only, unknown
 from ..schema import HISTORY, PRICE_COLUMNS, missing_to_null, require, roles, struct
 
 
+@contextmanager
+def folders_as_text(spark: SparkSession) -> Iterator[None]:
+    """What is read within has the values of partition folders as text, as they are written: 0700 stays 0700."""
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether the store that the path names has it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,10 +64,11 @@ def with_seq(df: DataFrame) -> DataFrame:
 
 def read_any(spark: SparkSession, path: str, other: str | None = None) -> DataFrame:
     """CSV by its suffix, Parquet by its suffix or for a folder; anything else as ``other``, or an error."""
-    if path.rstrip("/").endswith(".csv"):
-        return spark.read.option("header", True).csv(path)
-    if path.rstrip("/").endswith((".parquet", "_parquet")) or other == "parquet":
-        return spark.read.parquet(path)
+    with folders_as_text(spark):
+        if path.rstrip("/").endswith(".csv"):
+            return spark.read.option("header", True).csv(path)
+        if path.rstrip("/").endswith((".parquet", "_parquet")) or other == "parquet":
+            return spark.read.parquet(path)
     raise ValueError(f"{path}: neither .csv nor .parquet")
 
 
@@ -117,7 +133,8 @@ def load_data(spark: SparkSession, path: str) -> DataFrame:
 
 def read_windows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """Reference windows with SourceFile.  Only the match columns are read; files that lack one are empty for it and drop out."""
-    rows = spark.read.option("mergeSchema", True).parquet(folder)
+    with folders_as_text(spark):
+        rows = spark.read.option("mergeSchema", True).parquet(folder)
     present = [c for c in columns if c in rows.columns]
     require(rows, ["Ticker", "RefDate", "Offset"])
     rows = rows.select("Ticker", "RefDate", "Offset", F.col("_metadata.file_name").alias("SourceFile"), *present)

@@ -1,14 +1,18 @@
 """Remote quotes as a Spark data source: a partition per batch of tickers.
 
-A provider is a picklable object with ``bars(tickers) -> iterable of history rows`` and
-``actions(tickers, kind) -> iterable of rows``; FolderProvider reads Parquet files and needs no network.  A batch is
-tried again with growing, jittered pauses; one that keeps failing gives a status row for each of its tickers instead
-of stopping the others.
+A provider is a picklable object with ``bars(tickers, since) -> iterable of history rows`` and
+``actions(tickers, kind, since) -> iterable of rows``, where since is the first day wanted or None for all; FolderProvider
+reads Parquet files and needs no network.  A batch is tried again with growing, jittered pauses; one that keeps failing
+gives a status row for each of its tickers instead of stopping the others.
+
+Which tickers and days are wanted reaches the provider: days by the option ``since``, and both by filters on Ticker and
+Date that Spark pushes down (fetch turns that on).  Spark applies its filters once more, so a provider may send more
+than was asked for.
 """
 
 from __future__ import annotations
 
-
+import datetime as dt
 import random
 import time
 from collections.abc import Callable, Iterable, Iterator
@@ -18,7 +22,7 @@ from typing import Protocol
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
 from ..operators.prep import batches
 from ..schema import DIVIDENDS, HISTORY, SPLITS, struct
@@ -31,9 +35,9 @@ FETCHED = {"fetched": "history", "dividends_fetched": "dividends", "splits_fetch
 
 
 class Provider(Protocol):
-    def bars(self, tickers: list[str]) -> Iterable[tuple]: ...
+    def bars(self, tickers: list[str], since: dt.datetime | None = None) -> Iterable[tuple]: ...
 
-    def actions(self, tickers: list[str], kind: str) -> Iterable[tuple]: ...
+    def actions(self, tickers: list[str], kind: str, since: dt.datetime | None = None) -> Iterable[tuple]: ...
 
 
 @dataclass
@@ -42,7 +46,8 @@ class FolderProvider:
 
     folder: str
 
-    def _rows(self, name: str, spec: str, tickers: list[str]) -> Iterator[tuple]:
+    def _rows(self, name: str, spec: str, tickers: list[str], since: dt.datetime | None) -> Iterator[tuple]:
+        import pyarrow as pa
         import pyarrow.dataset as ds
 
         try:
@@ -50,46 +55,64 @@ class FolderProvider:
         except FileNotFoundError:
             return
         columns = [x.split()[0] for x in spec.split(",")]
-        for batch in table.to_batches(columns=columns, filter=ds.field("Ticker").isin(tickers)):
+        wanted = ds.field("Ticker").isin(tickers)
+        if since is not None:
+            wanted = wanted & (ds.field("Date") >= pa.scalar(since, table.schema.field("Date").type))
+        for batch in table.to_batches(columns=columns, filter=wanted):
             yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
-    def bars(self, tickers: list[str]) -> Iterator[tuple]:
-        return self._rows("history", HISTORY, tickers)
+    def bars(self, tickers: list[str], since: dt.datetime | None = None) -> Iterator[tuple]:
+        return self._rows("history", HISTORY, tickers, since)
 
-    def actions(self, tickers: list[str], kind: str) -> Iterator[tuple]:
-        return self._rows(kind, {"dividends": DIVIDENDS, "splits": SPLITS}[kind], tickers)
+    def actions(self, tickers: list[str], kind: str, since: dt.datetime | None = None) -> Iterator[tuple]:
+        return self._rows(kind, {"dividends": DIVIDENDS, "splits": SPLITS}[kind], tickers, since)
 
 
 @dataclass
 class NetworkProvider:
-    """Quotes of the optional package yfinance, asked one ticker at a time: all of a ticker's days, not adjusted."""
+    """Quotes of the optional package yfinance: one call for a batch of tickers, days not adjusted, with what was paid and split beside them."""
 
     period: str = "max"
 
-    def _history(self, ticker: str):
-        try:
-            import yfinance
-        except ImportError as e:
-            raise RuntimeError("the network provider needs the package yfinance") from e
-        frame = yfinance.Ticker(ticker).history(period=self.period, interval="1d", auto_adjust=False)
-        frame.index = frame.index.tz_localize(None) if frame.index.tz is None else frame.index.tz_convert("UTC").tz_localize(None)
-        return frame
-
-    def bars(self, tickers: list[str]) -> Iterator[tuple]:
-        for t in tickers:
-            frame = self._history(t)
-            named = frame.reindex(columns=["Open", "High", "Low", "Close", "Adj Close", "Volume"])
+    def _frames(self, tickers: list[str], since: dt.datetime | None) -> Iterator[tuple]:
+        """Each ticker and its frame; a frame for one ticker alone may have no level of tickers in its columns."""
+        yfinance = network()
+        span = {"period": self.period} if since is None else {"start": since.strftime("%Y-%m-%d")}
+        found = yfinance.download(tickers, interval="1d", auto_adjust=False, actions=True, group_by="ticker", threads=False, progress=False, **span)
+        if found is None or not len(found):
+            return
+        index = found.index
+        found.index = index.tz_localize(None) if index.tz is None else index.tz_convert("UTC").tz_localize(None)
+        if getattr(found.columns, "nlevels", 1) == 1:
+            yield tickers[0], found
+            return
+        there = set(found.columns.get_level_values(0))
+        yield from ((t, found[t]) for t in tickers if t in there)
+
+    def bars(self, tickers: list[str], since: dt.datetime | None = None) -> Iterator[tuple]:
+        number = lambda x: None if x != x else float(x)
+        for t, frame in self._frames(tickers, since):
+            named = frame.reindex(columns=["Open", "High", "Low", "Close", "Adj Close", "Volume"]).dropna(how="all")
             for day, *prices, volume in named.itertuples(name=None):
-                yield (t, day.to_pydatetime(), *(None if x != x else float(x) for x in prices), None if volume != volume else int(volume))
+                yield (t, day.to_pydatetime(), *map(number, prices), None if volume != volume else int(volume))
 
-    def actions(self, tickers: list[str], kind: str) -> Iterator[tuple]:
+    def actions(self, tickers: list[str], kind: str, since: dt.datetime | None = None) -> Iterator[tuple]:
         name = {"dividends": "Dividends", "splits": "Stock Splits"}[kind]
-        for t in tickers:
-            paid = self._history(t).get(name)
-            if paid is not None:
+        for t, frame in self._frames(tickers, since):
+            if name in frame:
+                paid = frame[name].dropna()
                 yield from ((t, day.to_pydatetime(), float(x)) for day, x in paid[paid != 0].items())
 
 
+def network():
+    """The package that the network provider asks; an error at once where it is not installed."""
+    try:
+        import yfinance
+    except ImportError as e:
+        raise RuntimeError("quotes from the network need the package yfinance; --quotes FOLDER reads them from files") from e
+    return yfinance
+
+
 def tried(call: Callable[[], list], attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> list:
     """The result of call, tried again after a pause that doubles and jitters."""
     for k in range(attempts):
@@ -114,14 +137,29 @@ class QuoteReader(DataSourceReader):
         self.table = options.get("table", "history")
         self.groups = [x.split("\t") for x in options["batches"].split("\n") if x]
         self.attempts, self.pause = int(options.get("attempts", ATTEMPTS)), float(options.get("pause", PAUSE))
+        self.since = dt.datetime.fromisoformat(options["since"]) if options.get("since") else None
+        self.tickers: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Take what narrows tickers and days; all filters are left to Spark as well.  A status is of all days that are there."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("Ticker",):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.tickers = named if self.tickers is None else self.tickers & named
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("Date",) and self.table in TABLES:
+                self.since = f.value if self.since is None else max(self.since, f.value)
+            yield f
 
     def partitions(self) -> list[Batch]:
-        return [Batch(g) for g in self.groups]
+        groups = [[t for t in g if self.tickers is None or t in self.tickers] for g in self.groups]
+        return [Batch(g) for g in groups if g] or [Batch([])]
 
     def read(self, partition: Batch) -> Iterator[tuple]:
+        if not partition.tickers:
+            return
         kind = FETCHED.get(self.table, self.table)
         prices = kind in ("history", "status")
-        fetch = self.provider.bars if prices else lambda t: self.provider.actions(t, kind)
+        fetch = (lambda t: self.provider.bars(t, self.since)) if prices else lambda t: self.provider.actions(t, kind, self.since)
         try:
             rows = tried(lambda: list(fetch(partition.tickers)), self.attempts, lambda s: time.sleep(s if self.pause else 0))
         except Exception as e:
@@ -154,7 +192,11 @@ class Quotes(DataSource):
 
 
 def fetch(spark: SparkSession, universe: DataFrame, provider: Provider, table: str = "history", batch_size: int = 30, **options: object) -> DataFrame:
-    """Rows of a table for the universe's tickers (ticker, ord): history, dividends, splits, status, or one of FETCHED, which has rows and status."""
+    """Rows of a table for the universe's tickers (ticker, ord): history, dividends, splits, status, or one of FETCHED, which has rows and status.
+
+    options: attempts, pause, and since, the first day wanted (ISO).
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses a source that takes filters where this is off
     spark.dataSource.register(Quotes)
     groups = batches(universe, batch_size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("t")).orderBy("batch").collect()
     listed = "\n".join("\t".join(x.ticker for x in r.t) for r in groups)

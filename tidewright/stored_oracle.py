@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .operators.match import DEFAULT_COLUMNS
-from .oracle import BARS, GAPS, HEAD, HISTORY, ROWS, TICKS, asked, dated, featured, r, ranked, scored, windowed
-from .queries import HORIZON, MATCH, TOP
+from .oracle import AFTERWARDS, BARS, GAPS, HEAD, HISTORY, ROWS, TICKS, asked, dated, featured, r, ranked, scored, topped, windowed
+from .queries import MATCH
 from .stored_queries import HEAD as CSV_HEAD
 from .stored_queries import PLACES_SHOWN, REASON, TAIL, TODAY
 
@@ -13,6 +13,7 @@ FEATURES = f"{BARS}, {featured('bars', 'AdjClose', 5, 10)}"
 LAST = "last AS (SELECT * FROM ticks WHERE seq % 17 <> 0 QUALIFY row_number() OVER (PARTITION BY Ticker, Date ORDER BY seq DESC) = 1)"
 CLOSE = "CASE WHEN seq % 5 <> 0 THEN price END"
 PAID = "paid AS (SELECT Ticker, Date, max(price) / 100 AS Dividend FROM ticks WHERE seq % 50 = 0 GROUP BY ALL)"
+SPLIT = "split AS (SELECT Ticker, Date, CAST(max(seq % 4) + 1 AS DOUBLE) AS SplitRatio FROM ticks WHERE seq % 97 = 0 GROUP BY ALL)"
 WIDE = f"""{BARS}, {featured('bars', 'AdjClose', 20, 50, 200)}, {windowed('f', [c.removesuffix('_Rebased') for c in DEFAULT_COLUMNS], 75, 25, 'any', True)},
   {asked(DEFAULT_COLUMNS, 75)}, {scored('mse', (1.0,) * 4, DEFAULT_COLUMNS, 75)}, {ranked(6)}"""
 
@@ -29,25 +30,9 @@ def shown_as_text(*columns: str) -> str:
 def batched(*more: str) -> str:
     """CTE b: tickers t in batches of two."""
     named = "".join(f" UNION ALL SELECT '{t}', {k + 1}" for k, t in enumerate(more))
-    return f"s AS (SELECT DISTINCT c_mktsegment AS t, 0 AS late FROM customer{named}), b AS (SELECT t, (row_number() OVER (ORDER BY late, t) - 1) // 2 AS batch FROM s)"
+    return f"s AS (SELECT DISTINCT c_mktsegment AS t, 0 AS late FROM customer{named}), b AS (SELECT t, late, (row_number() OVER (ORDER BY late, t) - 1) // 2 AS batch FROM s)"
 
 
-def values(names: str, *rows: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) v({names})"
-
-
-#: Fixed values of the presets, where they differ from the defaults.
-PRESETS = {
-    ("Fetch", "standard"): {"input": "tickers.csv", "out": "data_all", "float_dp": 4, "partition_by": "Ticker", "incremental": True, "actions": True},
-    ("Fetch", "fast"): {"input": "tickers.csv", "out": "data_all", "float_dp": 4, "partition_by": "Ticker", "incremental": True, "batch_size": 20},
-    ("Fetch", "validate"): {"input": "tickers.csv", "out": "data_all", "validate_only": True},
-    ("Features", "standard"): {"partition_by": "Ticker", "csv": "features.csv", "use_adjclose": True, "float_dp": 4},
-    ("Windows", "standard"): {
-        **{"input": "features.parquet", "before": 75, "after": 25, "per_ticker": True, "float_dp": 4, "format": "both", "csv_head": 1000, "csv_tail": 1000},
-        **{"drop_rows_if_nan": "any", "require_full_window": True},
-    },
-    ("Windows", "standard --before=60"): {"before": 60},
-}
 WITH_DATES = {
     "stored_history": f"WITH {BARS} SELECT {HEAD} FROM bars",
     "stored_ticker_history": f"WITH {BARS} SELECT {HEAD} FROM bars WHERE Ticker = 'BUILDING'",
@@ -62,6 +47,8 @@ WITH_DATES = {
     "query_features": f"WITH {FEATURES} SELECT Ticker, Date, {r('AdjClose')}, {r('MA_5')} FROM f WHERE Ticker IN ('BUILDING', 'HOUSEHOLD')",
     "quotes_history": f"WITH {BARS} SELECT {HEAD} FROM bars",
     "quotes_actions": f"WITH {TICKS}, {PAID} SELECT Ticker, Date, {r('Dividend')} FROM paid",
+    "quotes_splits": f"WITH {TICKS}, {SPLIT} SELECT Ticker, Date, SplitRatio FROM split",
+    "quotes_since": f"WITH {BARS} SELECT {HEAD} FROM bars WHERE Ticker <> 'BUILDING' AND Date >= DATE '1998-01-15'",
     "quote_range": f"WITH {BARS} SELECT Ticker, Date, {r('Close')}, CAST(687 AS BIGINT) AS calendar_days FROM bars WHERE Date >= DATE '{TODAY}' - 687",
 }
 WINDOW_ROWS = {
@@ -73,32 +60,40 @@ STORED_SQL: dict[str, str] = {
     **{name: dated(sql, ("Date",)) for name, sql in WITH_DATES.items()},
     **{name: dated(sql, ("RefDate", "Date")) for name, sql in WINDOW_ROWS.items()},
     "reference_files": dated(f'WITH {GAP_WINDOWS} SELECT Ticker, RefDate, "Offset", TRUE AS from_file, {r("AdjClose_Rebased")}, CAST(NULL AS DOUBLE) AS MA_9_Rebased FROM w', ("RefDate",)),
+    "text_tickers": f"""WITH {FEATURES}, x AS (SELECT lpad(CAST(ascii(Ticker) AS VARCHAR), 4, '0') AS Ticker, count(*) AS n, round(sum(AdjClose), 3) AS total FROM f GROUP BY 1)
+        SELECT reader, x.* FROM x, (VALUES ('features'), ('windows'), ('query')) v(reader) WHERE reader <> 'query' OR Ticker IN ('0066', '0077')""",
     "topn_preset": dated(f"WITH {WIDE} SELECT QueryTicker, Rank, MatchTicker, RefDate, round(Score, 3) AS Score FROM t", ("RefDate",)),
-    "no_stored_history": "SELECT TRUE AS absent",
+    "no_stored_history": f"WITH {BARS} SELECT Ticker, count(*) AS n_rows, TRUE AS absent FROM bars GROUP BY 1",
     "run_report": f"""WITH s AS (SELECT DISTINCT c_mktsegment AS t FROM customer), st AS (SELECT t, CASE t WHEN 'BUILDING' THEN '{REASON}' WHEN 'MACHINERY' THEN 'empty' ELSE 'ok' END AS x FROM s)
         SELECT '1d' AS "interval", count(*) AS tickers_total, count(*) FILTER (WHERE x = 'ok') AS tickers_ok, count(*) FILTER (WHERE x <> 'ok') AS tickers_failed, count(*) FILTER (WHERE x = 'empty') AS empty_series,
         TRUE AS incremental, string_agg(t, ',' ORDER BY t) FILTER (WHERE x = 'ok') AS ok, string_agg(t || '=' || x, ',' ORDER BY t) FILTER (WHERE x <> 'ok') AS failed FROM st""",
-    "run_log": values("event, n, stamped, escaped", "('fetch', CAST(0 AS BIGINT), TRUE, FALSE)", "('blåbær', 1, TRUE, FALSE)"),
+    "run_log": f"WITH {BARS} SELECT Ticker || ' hentet på ny' AS event, count(*) AS n, TRUE AS stamped, FALSE AS escaped FROM bars GROUP BY Ticker",
     "stored_order": f"WITH {GAP_WINDOWS} SELECT Ticker, CAST(0 AS BIGINT) AS wrong, count(*) AS n FROM w GROUP BY 1",
     "sorted_listing": f"WITH {GAP_WINDOWS} SELECT Ticker, row_number() OVER (ORDER BY Ticker) AS place FROM (SELECT DISTINCT Ticker FROM w)",
     "generic_scan": "SELECT kind, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, TRUE AS refused FROM nation, (VALUES ('csv'), ('parquet')) k(kind)",
     "drop_null_dates": f"WITH {TICKS} SELECT Ticker, count(*) AS before, count(*) FILTER (WHERE seq % 17 <> 0) AS after FROM ticks GROUP BY 1",
-    "required_columns": "SELECT 'input lacks columns: Date, Close' AS message",
-    "watch_list": values("Ticker, place", "('BBB', CAST(1 AS BIGINT))", "('AAA', 2)", "('BBB', 3)"),
-    "universe_file": values("ticker, listed", "('NOVO-B.CO', TRUE)", "('0700', TRUE)", "('ZZZ', FALSE)"),
-    "base_names": values("name, base", *(f"('{c}', '{c.removesuffix('_Rebased')}')" for c in (*MATCH, "RSI_14", "A_Rebased_B"))),
+    "watch_list": "SELECT c_mktsegment || '.' || c_nationkey AS Ticker, row_number() OVER (ORDER BY c_custkey) AS place FROM customer WHERE c_custkey % 7 <> 0",
+    "universe_file": """SELECT w AS ticker, w IN (SELECT lpad(CAST(c_nationkey AS VARCHAR), 4, '0') FROM customer WHERE c_custkey % 7 <> 0) AS listed FROM (VALUES ('0007'), ('0012'), ('9999')) v(w)""",
+    "base_names": """WITH n AS (SELECT DISTINCT p_brand || CASE WHEN p_partkey % 2 = 0 THEN '_Rebased' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '_B' ELSE '' END AS name FROM part)
+        SELECT name, CASE WHEN name LIKE '%!_Rebased' ESCAPE '!' THEN left(name, -8) ELSE name END AS base FROM n""",
     "diff_files": ROWS["diff_verdict"],
     "fetch_retries": "SELECT DISTINCT c_mktsegment AS Ticker, 'ok' AS status FROM customer",
     "fetch_isolation": f"""WITH {batched('NONE', 'BAD', 'LAST')} SELECT t AS Ticker,
-        CASE WHEN bool_or(t = 'BAD') OVER (PARTITION BY batch) THEN 'no answer' WHEN t = 'NONE' THEN 'empty' ELSE 'ok' END AS status FROM b""",
-    "failed_actions": f"WITH {batched()} SELECT t AS Ticker, CAST(NULL AS DOUBLE) AS SplitRatio, 'actions:no answer' AS status FROM b WHERE batch IN (SELECT batch FROM b WHERE t = 'BUILDING')",
-    "run_controls": values(
-        "run, said, report, history",
-        *("('validate', 'nothing', FALSE, FALSE)", "('dry', '1 rows', FALSE, FALSE)", "('real', '1 rows', TRUE, TRUE)", "('empty', 'more empty series than fail_on_empty allows', TRUE, TRUE)"),
+        CASE WHEN bool_or(t = 'BAD') OVER (PARTITION BY batch) THEN 'no answer' WHEN late > 0 THEN 'empty' ELSE 'ok' END AS status FROM b""",
+    "failed_actions": dated(
+        f"""WITH {TICKS}, {SPLIT}, {batched()}, bad AS (SELECT t FROM b WHERE batch IN (SELECT batch FROM b WHERE t = 'BUILDING'))
+        SELECT t AS Ticker, CAST(NULL AS DATE) AS Date, CAST(NULL AS DOUBLE) AS SplitRatio, 'actions:no answer' AS status FROM bad
+        UNION ALL SELECT Ticker, Date, SplitRatio, NULL FROM split WHERE Ticker NOT IN (SELECT t FROM bad)""",
+        ("Date",),
     ),
-    "presets": values("stage, preset, setting, value", *(f"('{k}', '{p}', '{s}', '{v}')" for (k, p), made in PRESETS.items() for s, v in made.items())),
-    "exit_codes": values("call, code", *(f"('{c}', CAST({n} AS BIGINT))" for c, n in {"diff without files": 2, "diff of one file": 1, "too many empty": 1, "validated": 0, "no such stage": 1}.items())),
-    "probed_input": values("asked, found", "('a,b', 'b.csv')", "('b,a', 'b.csv')", "('a,c', 'a.csv')"),
+    "run_controls": f"""WITH {BARS}, n AS (SELECT count(*) || ' rows' AS said FROM bars)
+        SELECT 'validate' AS run, 'nothing' AS said, FALSE AS anything, FALSE AS report, FALSE AS history UNION ALL SELECT 'dry', said, FALSE, FALSE, FALSE FROM n
+        UNION ALL SELECT 'real', said, TRUE, TRUE, TRUE FROM n UNION ALL SELECT 'empty', 'more empty series than fail_on_empty allows', TRUE, TRUE, TRUE""",
+    "exit_codes": f"""WITH {BARS}, n AS (SELECT count(*) AS n FROM bars)
+        SELECT call, CAST(code AS BIGINT) AS code, CASE WHEN call = 'fetched' THEN n ELSE 0 END AS bars
+        FROM n, (VALUES ('diff without files', 2), ('diff of one file', 1), ('too many empty', 1), ('validated', 0), ('fetched', 0), ('no such stage', 1)) v(call, code)""",
     "no_match": "SELECT CAST(0 AS BIGINT) AS matches, 'MatchTicker,QueryTicker,Rank,RefDate,Score,SourceFile' AS columns, CAST(0 AS BIGINT) AS futures",
-    "match_files": values("file, QueryTicker, n", *(f"('{f}', '{t}', CAST({n} AS BIGINT))" for f, n in {"scores": TOP, "all_scores.csv": TOP, "scores_csv": TOP, "futures": TOP * HORIZON}.items() for t in ("BUILDING", "MACHINERY"))),
+    "match_files": f"""WITH {topped('mse')}, {AFTERWARDS}, asked AS (SELECT * FROM t WHERE QueryTicker IN ('BUILDING', 'MACHINERY'))
+        SELECT file, QueryTicker, MatchTicker, CAST(RefDate AS VARCHAR) AS RefDate, Rank AS place, round(Score, 6) AS value FROM asked, (VALUES ('scores'), ('all_scores.csv'), ('scores_csv')) v(file)
+        UNION ALL SELECT 'futures', QueryTicker, MatchTicker, CAST(RefDate AS VARCHAR), FutureOffset, round({MATCH[0]}, 6) FROM fut WHERE QueryTicker IN ('BUILDING', 'MACHINERY')""",
 }

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from .operators import analogs, indicators, match, prep, report, windows
 from .plans import stages
 from .plans.bars import bars, bars_with_gaps, table, ticks
 from .queries import AFTER, BEFORE, HORIZON, LOOKBACK, MATCH, TOP, Query, shown
-from .schema import HISTORY_COLUMNS, PRICE_COLUMNS, require
+from .schema import HISTORY_COLUMNS, PRICE_COLUMNS
 from .sinks import tables
 from .sources import files, quotes
 
@@ -69,7 +69,9 @@ def ticker_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(files.read_history(spark, folder(spark)) is None,)], "absent boolean")
+    """Rows by ticker of what is stored, and whether a place where nothing was has none."""
+    rows = report.ticker_counts(files.read_history(spark, stored_prices(spark, sf_dir)))
+    return rows.withColumn("absent", F.lit(files.read_history(spark, folder(spark)) is None))
 
 
 def prices_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,10 @@ def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).where("seq % 50 = 0").groupBy("Ticker", "Date").agg((F.max("price") / 100).alias("Dividend"))
 
 
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks(spark, sf_dir).where("seq % 97 = 0").groupBy("Ticker", "Date").agg((F.max(F.col("seq") % 4) + 1).cast("double").alias("SplitRatio"))
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dividends are written; splits, of which there are none, are not."""
     out = folder(spark)
@@ -114,8 +120,8 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{folder(spark)}/log.jsonl"
-    for n, name in enumerate(("fetch", "blåbær")):
-        tables.log_event(spark, out, {"event": name, "n": n})
+    for row in report.ticker_counts(bars(spark, sf_dir)).collect():  # a row per market segment
+        tables.log_event(spark, out, {"event": f"{row.Ticker} hentet på ny", "n": row.n_rows})
     tables.log_event(spark, None, {"event": "nothing"})
     raw = spark.read.text(out)
     return raw.select(
@@ -218,15 +224,6 @@ def null_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("Ticker").agg(F.count("*").alias("before")).join(kept.groupBy("Ticker").agg(F.count("*").alias("after")), "Ticker")
 
 
-def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    try:
-        require(table(spark, sf_dir, "nation").withColumnRenamed("n_name", "Ticker"), ["Ticker", "Date", "Close"])
-        said = ""
-    except ValueError as e:
-        said = str(e)
-    return spark.createDataFrame([(said,)], "message string")
-
-
 def reference_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files.read_windows(spark, f"{saved_windows(spark, sf_dir)}/rebased_parquet", ["AdjClose_Rebased", "MA_9_Rebased"])
     return shown(rows.select(F.col("Ticker").cast("string"), "RefDate", "Offset", F.col("SourceFile").endswith(".parquet").alias("from_file"), "AdjClose_Rebased", "MA_9_Rebased"))
@@ -239,22 +236,49 @@ def query_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(files.read_query_features(spark, out, wanted, ["AdjClose", "MA_5"]).select(F.col("Ticker").cast("string"), "Date", "AdjClose", "MA_5"))
 
 
+def list_of(spark: SparkSession, sf_dir: str, header: str, name: Column) -> str:
+    """One file with a name for each customer, in order of their keys: with spaces around it, or nothing."""
+    cell = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.concat(F.lit(" "), name, F.lit(" ")))
+    out = f"{folder(spark)}/list.csv"
+    rows = table(spark, sf_dir, "customer").repartition(1).sortWithinPartitions("c_custkey").select(cell.alias(header), F.col("c_custkey").alias("why"))
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
+    return out
+
+
 def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files.read_watch(spark, lines(spark, f"{folder(spark)}/watch.csv", ["Ticker,why", " BBB ,x", ",y", "AAA,z", "BBB,w"]))
+    rows = files.read_watch(spark, list_of(spark, sf_dir, "Ticker", F.concat("c_mktsegment", F.lit("."), F.col("c_nationkey").cast("string"))))
     return rows.select("Ticker", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
 
 
 def universe_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = lines(spark, f"{folder(spark)}/list.csv", [" TICKER ,name", " NOVO-B.CO ,a", "AAPL,b", "NOVO-B.CO,c", ",d", "0700,e"])
-    universe, missing = files.read_table(spark, path, ["0700", "NOVO-B.CO", "ZZZ"])
+    """A list whose names have leading zeros, of which some are asked for, and one that is not there."""
+    path = list_of(spark, sf_dir, " TICKER ", F.lpad(F.col("c_nationkey").cast("string"), 4, "0"))
+    universe, missing = files.read_table(spark, path, ["0007", "0012", "9999"])
     return universe.select("ticker", F.lit(True).alias("listed")).union(missing.select("ticker", F.lit(False)))
 
 
 def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(c,) for c in (*MATCH, "RSI_14", "A_Rebased_B")], "name string")
+    names = table(spark, sf_dir, "part").select(F.concat_ws("_", "p_brand", F.when(F.col("p_partkey") % 2 == 0, "Rebased"), F.when(F.col("p_partkey") % 3 == 0, "B")).alias("name")).distinct()
     return names.select("name", scalars.base_name(F.col("name")).alias("base"))
 
 
+def text_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers that look like numbers, by each reader of partitioned tables, whatever the session makes of such folders."""
+    out = f"{folder(spark)}/features.parquet"
+    code = F.lpad(F.ascii("Ticker").cast("string"), 4, "0")
+    tables.write_parquet(featured(spark, sf_dir).withColumn("Ticker", code), out, "Ticker")
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        wanted = spark.createDataFrame([("0066",), ("0077",)], "Ticker string")
+        found = {"features": files.read_features_input(spark, out), "windows": files.load_data(spark, out), "query": files.read_query_features(spark, out, wanted, ["AdjClose", "MA_5"])}
+    finally:
+        spark.conf.set(name, before)
+    rows = [df.select(F.lit(k).alias("reader"), F.col("Ticker"), "Date", "AdjClose").groupBy("reader", "Ticker").agg(F.count("*").alias("n"), F.sum("AdjClose").alias("total")) for k, df in found.items()]
+    return shown(rows[0].unionByName(rows[1]).unionByName(rows[2]), 3)
+
+
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV against a Parquet of the same table with some values changed."""
     from .queries import _copies
@@ -271,23 +295,22 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class Shaky:
-    """Answers at the ``after``-th attempt; never for a batch with BAD; has nothing for NONE, and no actions for BUILDING's batch."""
+    """A folder's quotes, at the ``after``-th attempt; never for a batch with BAD, and no actions for BUILDING's batch."""
 
+    folder: quotes.FolderProvider
     after: int = 1
     asked: int = 0
 
-    def bars(self, tickers: list[str]) -> list[tuple]:
-        import datetime as dt
-
+    def bars(self, tickers: list[str], since: object = None) -> list[tuple]:
         self.asked += 1
         if self.asked < self.after or "BAD" in tickers:
             raise OSError("no answer")
-        return [(t, dt.datetime(2024, 1, 2), 1.0, 2.0, 0.5, 1.5, 1.5, 7) for t in tickers if t != "NONE"]
+        return list(self.folder.bars(tickers, since))
 
-    def actions(self, tickers: list[str], kind: str) -> list[tuple]:
+    def actions(self, tickers: list[str], kind: str, since: object = None) -> list[tuple]:
         if "BUILDING" in tickers:
             raise OSError("no answer")
-        return []
+        return list(self.folder.actions(tickers, kind, since))
 
 
 def segments(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -301,6 +324,7 @@ def quotes_folder(spark: SparkSession, sf_dir: str) -> quotes.FolderProvider:
     out = folder(spark)
     bars(spark, sf_dir).write.parquet(f"{out}/history.parquet")
     paid(spark, sf_dir).write.parquet(f"{out}/dividends.parquet")
+    split(spark, sf_dir).write.parquet(f"{out}/splits.parquet")
     return quotes.FolderProvider(out)
 
 
@@ -308,6 +332,12 @@ def quoted(name: str) -> Query:
     return lambda spark, sf_dir: shown(quotes.fetch(spark, segments(spark, sf_dir, "NONE"), quotes_folder(spark, sf_dir), name, 2, pause=0))
 
 
+def quotes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that are asked for, by an option and by a filter; the provider reads no others."""
+    asked = quotes.fetch(spark, segments(spark, sf_dir), quotes_folder(spark, sf_dir), "history", 2, pause=0, since="1997-03-01")
+    return shown(asked.where("Ticker <> 'BUILDING' AND Date >= timestamp_ntz'1998-01-15'"))
+
+
 def quote_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days that a query of the preset's size asks for."""
     wanted = match.days_needed(75)
@@ -316,68 +346,58 @@ def quote_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.fetch(spark, segments(spark, sf_dir), Shaky(after=3), "status", 2, pause=0)
+    return quotes.fetch(spark, segments(spark, sf_dir), Shaky(quotes_folder(spark, sf_dir), after=3), "status", 2, pause=0)
 
 
 def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.fetch(spark, segments(spark, sf_dir, "NONE", "BAD", "LAST"), Shaky(), "status", 2, attempts=2, pause=0)
+    return quotes.fetch(spark, segments(spark, sf_dir, "NONE", "BAD", "LAST"), Shaky(quotes_folder(spark, sf_dir)), "status", 2, attempts=2, pause=0)
 
 
 def failed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.fetch(spark, segments(spark, sf_dir), Shaky(), "splits_fetched", 2, attempts=1, pause=0).select("Ticker", "SplitRatio", "status")
+    found = quotes.fetch(spark, segments(spark, sf_dir), Shaky(quotes_folder(spark, sf_dir)), "splits_fetched", 2, attempts=1, pause=0.001)
+    return shown(found.select("Ticker", "Date", "SplitRatio", "status"))
 
 
 # -- stages -----------------------------------------------------------------------------------------------------------
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a run writes and says: only validating, as a dry run, for real, and with more empty series than allowed."""
-    listed = lines(spark, f"{folder(spark)}/list.csv", ["ticker", "AAA", "NONE"])
-    rows = []
+    """What a run writes and says: only validating, as a dry run (which leaves nothing behind), for real, and with more empty series than allowed."""
+    out = folder(spark)
+    listed = f"{out}/list.csv"
+    segments(spark, sf_dir, "NONE").select("ticker").repartition(1).write.option("header", True).csv(listed)
+    quoted, rows = quotes_folder(spark, sf_dir), []
     for name, how in (("validate", {"validate_only": True}), ("dry", {"dry_run": True}), ("real", {}), ("empty", {"fail_on_empty": 0})):
-        out = folder(spark)
         try:
-            got = stages.fetch_stage(spark, config.Fetch(input=listed, out=out, **how), Shaky(), pause=0)
+            got = stages.fetch_stage(spark, config.Fetch(input=listed, out=f"{out}/{name}", **how), quoted, pause=0)
             said = "nothing" if got is None else f"{got.history.count()} rows"
         except RuntimeError as e:
             said = str(e)
-        rows.append((name, said, files.exists(spark, f"{out}/run_report.json"), files.exists(spark, f"{out}/history_all.parquet")))
-    return spark.createDataFrame(rows, "run string, said string, report boolean, history boolean")
-
-
-def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every setting of every preset, and what one flag beside it changes."""
-    rows = []
-    for kind, named in config.PRESETS.items():
-        for preset in named:
-            made = config.configured(kind, preset)
-            rows += [(kind.__name__, preset, f.name, str(getattr(made, f.name))) for f in fields(made) if getattr(made, f.name) != f.default]
-    changed = config.from_flags(config.Windows, ["--preset", "standard", "--before=60"])
-    rows.append(("Windows", "standard --before=60", "before", str(changed.before)))
-    return spark.createDataFrame(rows, "stage string, preset string, setting string, value string")
+        rows.append((name, said, *(files.exists(spark, f"{out}/{name}{x}") for x in ("", "/run_report.json", "/history_all.parquet"))))
+    return spark.createDataFrame(rows, "run string, said string, anything boolean, report boolean, history boolean")
 
 
 def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of calls from the command line on quotes of all segments, and how many bars lie in the output afterwards."""
     from .__main__ import main
 
-    listed, out = lines(spark, f"{folder(spark)}/list.csv", ["ticker", "AAA"]), folder(spark)
-    bars(spark, sf_dir).limit(0).write.parquet(f"{out}/history.parquet")
+    out, quoted = folder(spark), quotes_folder(spark, sf_dir).folder
+    listed = f"{out}/list.csv"
+    segments(spark, sf_dir, "NONE").select("ticker").repartition(1).write.option("header", True).csv(listed)
+    given = ["fetch", "--quotes", quoted, "--input", listed, "--out"]
     calls = {
         "diff without files": ["diff", f"{out}/a.csv", f"{out}/b.csv"],
         "diff of one file": ["diff", f"{out}/a.csv"],
-        "too many empty": ["fetch", "--quotes", out, "--input", listed, "--out", f"{out}/o", "--fail-on-empty", "0", "--dry-run"],
-        "validated": ["fetch", "--quotes", out, "--input", listed, "--validate-only"],
+        "too many empty": [*given, f"{out}/empty", "--fail-on-empty", "0", "--dry-run"],
+        "validated": [*given, f"{out}/validated", "--validate-only"],
+        "fetched": [*given, f"{out}/fetched"],
         "no such stage": ["bake"],
     }
-    return spark.createDataFrame([(k, main(v, spark)) for k, v in calls.items()], "call string, code long")
-
-
-def probed_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of several places that is there; the first of all if none is."""
-    out = folder(spark)
-    lines(spark, f"{out}/b.csv", ["x"])
-    tail = lambda *names: files.first_existing(spark, *[f"{out}/{n}" for n in names]).rsplit("/", 1)[1]
-    return spark.createDataFrame([("a,b", tail("a.csv", "b.csv")), ("b,a", tail("b.csv", "a.csv")), ("a,c", tail("a.csv", "c.csv"))], "asked string, found string")
+    rows = []
+    for k, v in calls.items():
+        code, history = main(v, spark), files.read_history(spark, v[6]) if len(v) > 6 else None
+        rows.append((k, code, 0 if history is None else history.count()))
+    return spark.createDataFrame(rows, "call string, code long, bars long")
 
 
 def no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,18 +419,18 @@ def match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         watch=watch, ref_dir=f"{out}/rebased_parquet", lookback=LOOKBACK, horizon=HORIZON, topn=TOP, match_cols=",".join(MATCH), out_dir=f"{out}/found", query_from_features=True, query_features_dir=f"{out}/features.parquet"
     )
     stages.match_stage(spark, settings)
-    stored, key = spark.read.parquet(f"{out}/found/scores"), F.col("QueryTicker").cast("string")
-    counts = [
-        ("scores", stored.groupBy(key.alias("QueryTicker")).agg(F.count("*").alias("n"))),
-        ("all_scores.csv", csv(spark, f"{out}/found/all_scores.csv").groupBy("QueryTicker").agg(F.count("*").alias("n"))),
-        ("scores_csv", csv(spark, f"{out}/found/scores_csv").groupBy("QueryTicker").agg(F.count("*").alias("n"))),
-        ("futures", spark.read.parquet(f"{out}/found/futures").groupBy(key.alias("QueryTicker")).agg(F.count("*").alias("n"))),
+    scores = [
+        ("scores", spark.read.parquet(f"{out}/found/scores")),
+        ("all_scores.csv", csv(spark, f"{out}/found/all_scores.csv")),
+        ("scores_csv", csv(spark, f"{out}/found/scores_csv")),
     ]
-    rows = None
-    for name, one in counts:
-        one = one.select(F.lit(name).alias("file"), "QueryTicker", "n")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    parts = [df.select(F.lit(k).alias("file"), F.col("QueryTicker").cast("string"), "MatchTicker", F.substring(F.col("RefDate").cast("string"), 1, 10).alias("RefDate"), F.col("Rank").cast("long").alias("place"), F.col("Score").cast("double").alias("value")) for k, df in scores]
+    after = spark.read.parquet(f"{out}/found/futures")
+    parts.append(after.select(F.lit("futures").alias("file"), F.col("QueryTicker").cast("string"), "MatchTicker", F.substring(F.col("RefDate").cast("string"), 1, 10).alias("RefDate"), F.col("FutureOffset").cast("long").alias("place"), F.col(MATCH[0]).alias("value")))
+    rows = parts[0]
+    for one in parts[1:]:
+        rows = rows.unionByName(one)
+    return shown(rows)
 
 
 # -- the match at the preset's size -----------------------------------------------------------------------------------
@@ -443,7 +463,6 @@ STORED: dict[str, Query] = {
     "windows_input": windows_input,
     "generic_scan": generic_scan,
     "drop_null_dates": null_dates,
-    "required_columns": required_columns,
     "reference_files": reference_files,
     "query_features": query_features,
     "watch_list": watch_list,
@@ -453,13 +472,14 @@ STORED: dict[str, Query] = {
     "quotes_history": quoted("history"),
     "quotes_actions": quoted("dividends"),
     "quote_range": quote_range,
+    "quotes_since": quotes_since,
+    "quotes_splits": quoted("splits"),
+    "text_tickers": text_tickers,
     "fetch_retries": retried,
     "fetch_isolation": isolated,
     "failed_actions": failed_actions,
     "run_controls": controls,
-    "presets": presets,
     "exit_codes": exit_codes,
-    "probed_input": probed_input,
     "no_match": no_match,
     "match_files": match_files,
     "topn_preset": topn_preset,
