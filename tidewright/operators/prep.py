@@ -85,6 +85,14 @@ def incremental_merge(existing: DataFrame | None, new: DataFrame, seq: str) -> D
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
+def touched(existing: DataFrame, new: DataFrame, seq: str) -> DataFrame:
+    """incremental_merge of those tickers alone that get rows which existing lacks; of the others nothing is read but their dates."""
+    of_new = new.select("Ticker").distinct()
+    dates = existing.join(of_new, "Ticker", "left_semi").select(*KEY)
+    fresh = keep_first(new, seq).drop(seq).join(dates, [*KEY], "left_anti")
+    return existing.join(fresh.select("Ticker").distinct(), "Ticker", "left_semi").unionByName(fresh, allowMissingColumns=True)
+
+
 def batches(universe: DataFrame, size: int) -> DataFrame:
     """ticker, ord, batch: chunks of ``size`` tickers in order.  A row per ticker is ranked in one task."""
     place = F.row_number().over(Window.orderBy("ord", "ticker")) - 1

@@ -58,15 +58,20 @@ def fetch_stage(spark: SparkSession, config: Fetch, provider: quotes.Provider, *
         new = prep.adjusted_only(new)
     stored = files.read_history(spark, config.out) if config.incremental else None
     history = new if stored is None else prep.incremental_merge(stored, new.withColumn("seq", F.lit(0)), "seq")
+    by_ticker = files.exists(spark, f"{config.out}/history_all_parquet") and (config.per_ticker or config.partition_by == "Ticker")
+    replaced, whole = history, None
     if stored is not None and not config.dry_run:  # what is read is about to be replaced
-        history = kept(history, config.out)
+        if by_ticker:  # by the tickers alone that get new rows; the files of the others stay as they are
+            replaced, whole = prep.touched(stored, new.withColumn("seq", F.lit(0)), "seq"), lambda: files.read_history(spark, config.out)
+        replaced = kept(replaced, config.out)
     if config.actions and not config.dry_run:
         paid = {t: kept(quotes.fetch(spark, universe, provider, f"{t}_fetched", config.batch_size, **options), config.out) for t in ("dividends", "splits")}
         for t in paid.values():
             status = status.unionByName(t.where("status IS NOT NULL").select(F.col("Ticker").alias("ticker"), "status").distinct())
     summary = report.run_summary(status)
     if not config.dry_run:
-        tables.save_prices(history, config.out, config.per_ticker, config.compression, config.partition_by, config.float_dp)
+        tables.save_prices(replaced, config.out, config.per_ticker, config.compression, config.partition_by, config.float_dp, whole)
+        history = whole() if whole else replaced
         if config.actions:
             tables.save_actions(*(t.where("status IS NULL").drop("status") for t in paid.values()), config.out, config.compression, config.float_dp)
         tables.save_report(summary, status, f"{config.out}/run_report.json", incremental=config.incremental, actions=config.actions, adjusted_only=config.adjusted_only, out_dir=config.out)

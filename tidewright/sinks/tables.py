@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,23 +42,27 @@ def head_and_tail(df: DataFrame, head: int | None, tail: int | None, keys: list[
 
 
 def write_csv(df: DataFrame, path: str, places: int | None = None, columns: list[str] | None = None, by: str | None = None) -> None:
-    """A CSV view; by: a folder per value."""
+    """A CSV view; by: a folder per value, of which only those that df has are replaced."""
     view = rounded_view(df, places, columns)
     if by:
         view = view.withColumn("__file", safe_filename(F.col(by))).repartition("__file")
-        view.write.mode("overwrite").option("header", True).partitionBy("__file").csv(path)
+        view.write.mode("overwrite").option("header", True).option("partitionOverwriteMode", "dynamic").partitionBy("__file").csv(path)
     else:
         view.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_prices(df: DataFrame, out: str, per_ticker: bool = False, compression: str = "snappy", partition_by: str | None = None, float_dp: int | None = None) -> None:
-    """History as Parquet and as CSV with its price columns rounded."""
+def save_prices(df: DataFrame, out: str, per_ticker: bool = False, compression: str = "snappy", partition_by: str | None = None, float_dp: int | None = None, whole: Callable[[], DataFrame] | None = None) -> None:
+    """History as Parquet and as CSV with its price columns rounded.
+
+    Of a table by ticker only the tickers of df are replaced.  whole: gives all rows once the Parquet is written, for a CSV
+    that is one table.
+    """
     by = "Ticker" if per_ticker else None
     if per_ticker or partition_by:
         write_parquet(df, f"{out}/history_all_parquet", partition_by or "Ticker", compression)
     else:
         write_parquet(df, f"{out}/history_all.parquet", None, compression)
-    write_csv(df, f"{out}/history_all.csv", float_dp, PRICE_COLUMNS, by)
+    write_csv(whole() if whole and not by else df, f"{out}/history_all.csv", float_dp, PRICE_COLUMNS, by)
 
 
 def save_actions(dividends: DataFrame, splits: DataFrame, out: str, compression: str = "snappy", float_dp: int | None = None) -> None:

@@ -132,13 +132,16 @@ def load_data(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_windows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """Reference windows with SourceFile.  Only the match columns are read; files that lack one are empty for it and drop out."""
-    with folders_as_text(spark):
-        rows = spark.read.option("mergeSchema", True).parquet(folder)
-    present = [c for c in columns if c in rows.columns]
-    require(rows, ["Ticker", "RefDate", "Offset"])
-    rows = rows.select("Ticker", "RefDate", "Offset", F.col("_metadata.file_name").alias("SourceFile"), *present)
-    return rows.select("Ticker", "RefDate", "Offset", "SourceFile", *[(to_number(F.col(c)) if c in present else F.lit(None).cast("double")).alias(c) for c in columns])
+    """Reference windows with SourceFile.  Only the match columns are read; files that lack one are empty for it and drop out.
+
+    The columns are asked for by name and type, so no footer is opened before a task reads its file, however many there
+    are and whatever else they hold.
+    """
+    wanted = ", ".join(["Ticker string", "RefDate timestamp_ntz", "Offset int", *[f"`{c}` double" for c in columns]])
+    rows = spark.read.schema(wanted).parquet(folder)
+    if rows.isEmpty():
+        raise ValueError(f"{folder}: no windows")
+    return rows.select("Ticker", "RefDate", "Offset", F.col("_metadata.file_name").alias("SourceFile"), *[to_number(F.col(c)).alias(c) for c in columns])
 
 
 def read_query_features(spark: SparkSession, path: str, tickers: DataFrame, columns: list[str]) -> DataFrame:

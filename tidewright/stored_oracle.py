@@ -64,6 +64,7 @@ STORED_SQL: dict[str, str] = {
         SELECT reader, x.* FROM x, (VALUES ('features'), ('windows'), ('query')) v(reader) WHERE reader <> 'query' OR Ticker IN ('0066', '0077')""",
     "topn_preset": dated(f"WITH {WIDE} SELECT QueryTicker, Rank, MatchTicker, RefDate, round(Score, 3) AS Score FROM t", ("RefDate",)),
     "no_stored_history": f"WITH {BARS} SELECT Ticker, count(*) AS n_rows, TRUE AS absent FROM bars GROUP BY 1",
+    "merged_folders": f"WITH {BARS} SELECT Ticker, count(*) AS n, round(sum(Close), 2) AS total, Ticker IN ('BUILDING', 'FURNITURE') AS stayed, count(*) AS in_csv FROM bars GROUP BY Ticker",
     "run_report": f"""WITH s AS (SELECT DISTINCT c_mktsegment AS t FROM customer), st AS (SELECT t, CASE t WHEN 'BUILDING' THEN '{REASON}' WHEN 'MACHINERY' THEN 'empty' ELSE 'ok' END AS x FROM s)
         SELECT '1d' AS "interval", count(*) AS tickers_total, count(*) FILTER (WHERE x = 'ok') AS tickers_ok, count(*) FILTER (WHERE x <> 'ok') AS tickers_failed, count(*) FILTER (WHERE x = 'empty') AS empty_series,
         TRUE AS incremental, string_agg(t, ',' ORDER BY t) FILTER (WHERE x = 'ok') AS ok, string_agg(t || '=' || x, ',' ORDER BY t) FILTER (WHERE x <> 'ok') AS failed FROM st""",

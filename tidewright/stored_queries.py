@@ -87,6 +87,24 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(spark.read.parquet(out).select(F.col("Ticker").cast("string"), "Date", "Close"))
 
 
+def merged_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that brings new days for some tickers: all bars are there then, and the files of the other tickers are the old ones."""
+    out = folder(spark)
+    quoted = quotes_folder(spark, sf_dir)
+    listed = f"{out}/list.csv"
+    segments(spark, sf_dir).select("ticker").repartition(1).write.option("header", True).csv(listed)
+    known = bars(spark, sf_dir).where("Ticker IN ('BUILDING', 'FURNITURE') OR Date < timestamp_ntz'1998-01-01'")
+    tables.save_prices(known, f"{out}/data", partition_by="Ticker")
+    path = F.col("_metadata.file_path")
+    names = lambda: spark.read.parquet(f"{out}/data/history_all_parquet").select(F.col("Ticker").cast("string"), path.alias("file")).distinct().collect()
+    before = {r.file for r in names()}
+    got = stages.fetch_stage(spark, config.Fetch(input=listed, out=f"{out}/data", incremental=True, partition_by="Ticker"), quoted, pause=0)
+    stayed = spark.createDataFrame([(r.Ticker, r.file in before) for r in names()], "Ticker string, stayed boolean").groupBy("Ticker").agg(F.every("stayed").alias("stayed"))  # a row per file
+    text = csv(spark, f"{out}/data/history_all.csv").groupBy("Ticker").agg(F.count("*").alias("in_csv"))
+    sums = got.history.groupBy("Ticker").agg(F.count("*").alias("n"), F.round(F.sum("Close"), 2).alias("total"))
+    return sums.join(stayed, "Ticker").join(text, "Ticker")
+
+
 def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).where("seq % 50 = 0").groupBy("Ticker", "Date").agg((F.max("price") / 100).alias("Dividend"))
 
@@ -449,6 +467,7 @@ STORED: dict[str, Query] = {
     "no_stored_history": no_history,
     "prices_csv": prices_csv,
     "rewritten_partitions": rewritten,
+    "merged_folders": merged_folders,
     "stored_actions": actions,
     "run_report": run_report,
     "run_log": run_log,
