@@ -215,6 +215,43 @@ def set_likeness(a, b):
     return len(set(a) & set(b)) / len(set(a) | set(b))
 
 
+def shingles(words, k=5):
+    return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+
+def test_a_frequent_line_loses_no_pair_and_merges_nothing(spark):
+    """A line of 44 words inside 280 different passages of 50 words, two copies each, in documents of 130 words."""
+    draw = np.random.default_rng(8)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**9, n)]
+    line = text(44)
+    kinds = [text(3) + line + text(3) for _ in range(280)]
+    of = draw.permutation(np.repeat(np.arange(280), 2)).tolist()
+    rows = docs(spark, [" ".join(text(40) + kinds[k] + text(40)) for k in of]).repartition(4)
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(rows).collect()}
+    assert got == {d: of.index(k) for d, k in enumerate(of)}
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of near passages in different surroundings, all of which share a line with many others."""
+    draw = np.random.default_rng(12)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**9, n)]
+    texts, pairs, line = [], [], text(30)
+    while len(pairs) < 120:
+        core = text(int(draw.integers(20, 60))) + line * (len(pairs) % 2) + text(int(draw.integers(35, 60)))
+        near = list(core)
+        for _ in range(int(draw.integers(0, 4))):
+            near[int(draw.integers(0, len(near)))] = text(1)[0]
+        if (alike := set_likeness(shingles(core), shingles(near))) >= passages.SIMILARITY:
+            pairs.append((len(texts), len(texts) + 1, alike))
+            texts += [" ".join(text(60) + core + text(30)), " ".join(text(20) + near + text(70))]
+    classes = {r.doc_id: r.class_id for r in passages.repeated_passages(docs(spark, texts)).collect()}
+    found = [(s, a in classes and classes[a] == classes.get(b)) for a, b, s in pairs]
+    for low, high in ((0.8, 0.88), (0.88, 1.01)):
+        own = [hit for s, hit in found if low <= s < high]
+        assert len(own) >= 15 and np.mean(own) >= 0.9
+    assert all(c // 2 == d // 2 for d, c in classes.items())
+
+
 @pytest.mark.parametrize("change", ["replace", "insert", "delete"])
 def test_a_changed_word_at_any_place(change):
     draw = np.random.default_rng(9)
