@@ -98,8 +98,31 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id for r in near_copies.without_near_copies(docs).collect()} == {k for k in text if forest.find(k) == k}
 
 
-def test_large_bands_of_near_copies_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "SMALL", 2)
+def test_recall_in_large_bands(spark):
+    """Pairs of similarity 0.8 to 0.9 in bands that they share with many others of similarity 0.6 or so."""
+    draw = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in draw.integers(0, 10**9, n)]
+    base, rows, pairs = word(150), [], []
+    for _ in range(150):
+        own = base + word(50)
+        near = list(own)
+        near[-int(draw.integers(1, 40))] = near[-int(draw.integers(1, 40))] = "changed"
+        if alike(" ".join(own), " ".join(near)) >= 0.8:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(near))]
+    assert len(pairs) > 100 and alike(rows[0][1], rows[2][1]) < 0.65
+    gone = {r.id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone <= {b for _, b in pairs} and len(gone) >= 0.95 * len(pairs)
+
+
+def test_identifiers_of_text_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", text, 1, "x"), ("a", text + " end", 2, "y"), ("c", "other words", 3, "z"), (None, text, 4, "n")]
+    got = near_copies.without_near_copies(spark.createDataFrame(rows, "doc_id string, text string, id int, a string"))
+    assert {(r.doc_id, r.id, r.a) for r in got.collect()} == {("a", 2, "y"), ("c", 3, "z"), (None, 4, "n")}
+
+
+def test_large_bands_of_near_copies_and_repeated_rows(spark):
     draw = np.random.default_rng(4)
     word = lambda n: [f"w{i}" for i in draw.integers(0, 10**6, n)]
     base, rows = word(120), []

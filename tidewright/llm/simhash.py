@@ -230,7 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return hashed.join(by_fp, F.col("fp") == F.col("print")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def staying(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id: the identifier of one document of each group of near-duplicates, the smallest, as a table of its own.  Null stands for rows without one, if a group has no other."""
+    stay = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id"))
+    return written(stay.distinct(), "simhash-stay")
+
+
 def thinned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest identifier (taken to be unique)."""
-    stay = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay"))
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay")), "left_semi")
+    """One document of each group of near-duplicates: the one with the smallest identifier.
+
+    Rows that repeat an identifier stay or go together, and stay if one of their texts does.
+    """
+    stay = staying(docs, id_col, text_col)
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["id"]), "left_semi")
