@@ -134,6 +134,40 @@ def test_a_dry_run_leaves_nothing(spark, tmp_path, monkeypatch, incremental):
     assert got.history.count() == 20 and not out.exists()
 
 
+@dataclass
+class Newest:
+    """A year of days up to today for every ticker, at prices of their own."""
+
+    def bars(self, tickers, since=None):
+        today = dt.datetime.now(dt.UTC).replace(tzinfo=None, hour=0, minute=0, second=0, microsecond=0)
+        days = [today - dt.timedelta(days=k) for k in range(365)]
+        return [(t, d, *[100.0 + len(t) + d.day] * 5, 1) for t in tickers for d in days if since is None or d >= since]
+
+
+def test_queries_that_features_lack_are_fetched(spark, tmp_path):
+    from tidewright.operators import indicators, windows
+
+    rows = spark.createDataFrame([("A", DAY + dt.timedelta(days=k), 10.0 + k % 7, 10.0 + k % 7) for k in range(60)], "Ticker string, Date timestamp_ntz, AdjClose double, Close double")
+    found = indicators.add_features(rows, "AdjClose", (20,), ())
+    found.write.partitionBy("Ticker").parquet(f"{tmp_path}/features.parquet")
+    windows.event_windows(found, 6, 2, "any", True).write.parquet(f"{tmp_path}/rebased")
+    (tmp_path / "watch.csv").write_text("Ticker\nA\nNEW\n")
+    settings = config.Match(watch=f"{tmp_path}/watch.csv", ref_dir=f"{tmp_path}/rebased", lookback=5, horizon=2, topn=3, match_cols="AdjClose_Rebased,MA_20_Rebased", query_from_features=True, query_features_dir=f"{tmp_path}/features.parquet")
+    for provider, asked in ((None, {"A"}), (Newest(), {"A", "NEW"})):
+        scores, after, status = stages.match_stage(spark, settings, provider, write=False)
+        assert {(r.QueryTicker, r.status) for r in status.collect()} == {(t, "ok") for t in asked}
+        assert sorted(r.QueryTicker for r in scores.collect()) == sorted([*asked] * 3) and after.count() == 6 * len(asked)
+
+
+def test_what_is_asked_for_and_not_listed_is_said(spark, tmp_path, capsys):
+    from tidewright.__main__ import main
+
+    spark.createDataFrame([("A", DAY, *[1.0] * 5, 1)], "Ticker string, Date timestamp_ntz, Open double, High double, Low double, Close double, AdjClose double, Volume long").write.parquet(f"{tmp_path}/q/history.parquet")
+    (tmp_path / "list.csv").write_text("ticker\nA\nB\n")
+    assert main(["fetch", "--quotes", f"{tmp_path}/q", "--input", f"{tmp_path}/list.csv", "--only", "A,ZZ,YY", "--out", f"{tmp_path}/o", "--dry-run"], spark) == 0
+    assert capsys.readouterr().err.splitlines()[-2:] == ["not in the list: YY", "not in the list: ZZ"]
+
+
 def test_pauses_between_batches(spark, tmp_path, monkeypatch):
     waited = []
     monkeypatch.setattr(quotes.time, "sleep", waited.append)

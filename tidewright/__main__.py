@@ -10,6 +10,7 @@ Exit codes: 0; 1 for wrong usage or more empty series than allowed; 2 for files
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 
 from pyspark.sql import SparkSession
@@ -39,13 +40,16 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         if name in ("fetch", "run") and isinstance(provider, NetworkProvider):
             network()
         if name == "fetch":
-            stages.fetch_stage(spark, from_flags(Fetch, rest), provider)
+            got = stages.fetch_stage(spark, from_flags(Fetch, rest), provider)
+            for row in got.missing.orderBy("ticker").collect() if got else []:  # of the list after --only
+                print(f"not in the list: {row.ticker}", file=sys.stderr)
         elif name == "features":
             stages.features_stage(spark, from_flags(Features, rest))
         elif name == "windows":
             stages.windows_stage(spark, from_flags(Windows, rest))
         elif name == "match":
-            _, _, status = stages.match_stage(spark, from_flags(Match, rest), provider)
+            known = isinstance(provider, FolderProvider) or importlib.util.find_spec("yfinance") is not None
+            _, _, status = stages.match_stage(spark, from_flags(Match, rest), provider if known else None)
             status.show(truncate=False)
         elif name == "run":
             stages.fetch_stage(spark, configured(Fetch, "standard"), provider)

@@ -100,6 +100,14 @@ def windows_stage(spark: SparkSession, config: Windows, write: bool = True) -> D
     return out
 
 
+def fetched_queries(spark: SparkSession, watch: DataFrame, provider: quotes.Provider, lookback: int) -> DataFrame:
+    """The newest bars of the watched tickers with their averages, as many days as a query needs."""
+    universe, wanted = watch.groupBy(F.col("Ticker").alias("ticker")).agg(F.min("ord").alias("ord")), match.days_needed(lookback)
+    since = (datetime.now(UTC) - timedelta(days=match.calendar_days(wanted))).date()
+    raw = quotes.fetch(spark, universe, provider, since=since.isoformat()).withColumn("seq", F.monotonically_increasing_id())
+    return match.query_averages(match.recent(prep.normalize_prices(raw, F.col("Ticker"), "seq"), wanted))
+
+
 def match_stage(spark: SparkSession, config: Match, provider: quotes.Provider | None = None, write: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, futures, status of the queries).  A query that cannot be built is reported and the others go on."""
     columns = parse_list(config.match_cols)
@@ -108,12 +116,11 @@ def match_stage(spark: SparkSession, config: Match, provider: quotes.Provider |
     bases = [match.base_of(c) for c in columns]
     if config.query_from_features:
         source = files.read_query_features(spark, config.query_features_dir, watch, bases)
+        absent = watch.join(source.select("Ticker").distinct(), "Ticker", "left_anti")
+        if provider is not None and not absent.isEmpty():  # what the features lack is asked for
+            source = source.unionByName(fetched_queries(spark, absent, provider, config.lookback).select(source.columns))
     elif provider is not None:
-        universe = watch.groupBy(F.col("Ticker").alias("ticker")).agg(F.min("ord").alias("ord"))
-        wanted = match.days_needed(config.lookback)
-        since = (datetime.now(UTC) - timedelta(days=match.calendar_days(wanted))).date()
-        raw = quotes.fetch(spark, universe, provider, since=since.isoformat()).withColumn("seq", F.monotonically_increasing_id())
-        source = match.query_averages(match.recent(prep.normalize_prices(raw, F.col("Ticker"), "seq"), wanted))
+        source = fetched_queries(spark, watch, provider, config.lookback)
     else:
         raise ValueError("queries need features or a provider")
     reference = files.read_windows(spark, config.ref_dir, columns)
