@@ -525,8 +525,36 @@ def test_toxicity_learns_from_tables_with_clashing_columns(spark, monkeypatch):
     right = [r.predicted == labels[r.doc_id] for r in toxicity.toxicity_scores(rows, model).collect() if r.doc_id < 10**6]
     assert np.mean(right) > 0.95
     assert toxicity.without_toxic(rows.limit(0), model).columns == rows.columns
-    monkeypatch.setattr(toxicity, "FIT_WORDS", 0)
-    assert toxicity.fit_toxicity(rows, marks, none).network is None
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 0)  # still documents of both labels
+    assert toxicity.fit_toxicity(rows, marks, none).network is not None
+    monkeypatch.setattr(toxicity, "FIT_LONGEST", 0)
+    with pytest.raises(ValueError, match="no network can be fitted"):
+        toxicity.fit_toxicity(rows, marks, none)
+
+
+@needs_data
+def test_held_out_toxicity_and_scores_by_a_plain_network(spark):
+    """The registered query on labels it did not learn from, and its scores against a convolution written out word by word."""
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, DATA).collect()}
+    docs_ = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert set(got) == set(docs_)
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    known = ~language.held_out(F.col("doc_id"))
+    model = toxicity.fit_toxicity(table, spark.read.parquet(f"{DATA}/labels.parquet").where(known), language.fit_languages(table.where(known)))
+    net = model.network
+    for i in sorted(docs_)[:25]:
+        found = toxicity.letter_words(docs_[i])
+        vectors = [sum(net.embed[b] for b in toxicity.features(w)) for w in found]
+        answers = []
+        for width, tap in zip(toxicity.WIDTHS, net.taps, strict=True):
+            spans = [sum(vectors[s + k] @ tap[k] for k in range(min(width, len(found) - s))) for s in range(len(found))]
+            answers.append(np.max(spans, axis=0) if spans else np.zeros(toxicity.FILTERS))
+        hidden = np.maximum(np.concatenate(answers) + net.bias, 0) if found else np.zeros(len(net.bias))
+        logit = hidden @ net.out[:-1] + net.out[-1]
+        rows = model.word_rows(found) if found else np.zeros((0, 1))
+        lang = int(rows[:, sum(toxicity.WIDTHS) * toxicity.FILTERS :].sum(axis=0, dtype=np.float64).argmax()) if found and model.languages.names else -1
+        want = 1 / (1 + np.exp(-np.clip(logit - model.cuts[lang] + toxicity.logit(toxicity.THRESHOLD), -30, 30)))
+        assert got[i].score == pytest.approx(want, abs=1e-4) and got[i].predicted == int(got[i].score >= 0.3)
 
 
 def test_likelier_documents_are_drawn_more_often(spark):

@@ -28,7 +28,8 @@ from .words import WordRows, kept_rows, letter_words, pieces
 
 #: Labelled documents that the network is trained and calibrated on at most, on average; drawn by a hash of the identifier.
 FIT_DOCUMENTS = 8_000
-#: Words of them together at most: of more, fewer documents are drawn, by the same hash.  Documents are trained on whole.
+#: Words of them together at most, but for what it takes to have documents of both labels: of more, fewer documents are
+#: drawn, by the same hash.  Documents are trained on whole.
 FIT_WORDS = 4_000_000
 #: Words of a document in the sample at most; a longer one is left out of the fit as a whole.
 FIT_LONGEST = 400_000
@@ -266,7 +267,7 @@ def fit_toxicity(
     A document that several rows of labels name is toxic if one of them says so; null labels are left out, and so are
     documents of more than FIT_LONGEST words.  Null, empty and wordless texts take part as texts of no words.  Rows that
     repeat an identifier all take part.  Without both toxic and clean documents (as with an empty table) there is no
-    network, and every score is 0.  Only the named columns are read, whatever else the tables hold.
+    network, and every score is 0; with both, at least one of each is learnt from, or the fit is refused with an error.  Only the named columns are read, whatever else the tables hold.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(label_col).alias("label")).groupBy("of").agg(F.max("label").cast("int").alias("y"))
     known = sampled(known, "of", most)
@@ -275,13 +276,17 @@ def fit_toxicity(
     rows = written(training_rows(texts, languages).where(F.size("words") <= FIT_LONGEST), "toxicity-sample")
     share = F.pmod(F.xxhash64("key", F.lit("share")), F.lit(SHARES))
     sizes = dict(rows.groupBy(share.alias("share")).agg(F.sum(F.size("words"))).collect())  # SHARES rows at most
-    fits, total = 0, 0
+    kinds = rows.where(~F.col("aside")).groupBy((F.col("y") > 0).alias("toxic")).agg(F.min(share).alias("first")).collect()
+    fits = max((r["first"] + 1 for r in kinds), default=0) if len(kinds) == 2 else 0  # documents of both labels, whatever their length
+    total = sum(n for k, n in sizes.items() if k < fits)
     while fits < SHARES and total + sizes.get(fits, 0) <= FIT_WORDS:
         total += sizes.get(fits, 0)
         fits += 1
     n_languages = len(languages.names)
     weights = rows.where(share < fits).repartition(1).mapInArrow(lambda batches: trained(batches, n_languages), "name string, shape array<bigint>, data binary").collect()
     arrays = {r.name: np.frombuffer(bytes(r.data)).reshape(r.shape) for r in weights}
+    if not arrays and texts.select("y").where("y IS NOT NULL").distinct().count() == 2:
+        raise ValueError(f"no network can be fitted: there is no document of each label of at most {FIT_LONGEST} words that is not set aside")
     if not arrays:
         return Toxicity(None, languages, np.full(len(languages.names) + 1, logit(THRESHOLD)))
     network = Network(arrays["embed"].astype(np.float32), [arrays[f"tap{k}"].astype(np.float32) for k in range(len(WIDTHS))], arrays["bias"], arrays["out"])
