@@ -98,6 +98,16 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id for r in near_copies.without_near_copies(docs).collect()} == {k for k in text if forest.find(k) == k}
 
 
+def test_a_folder_of_our_own_on_one_machine_only():
+    from types import SimpleNamespace
+
+    from tidewright.llm.shared import shared_folder
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir is unset"):
+            shared_folder(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master)))
+
+
 def test_recall_in_large_bands(spark):
     """Pairs of similarity 0.8 to 0.9 in bands that they share with many others of similarity 0.6 or so."""
     draw = np.random.default_rng(11)

@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
 
-    A fresh folder of our own only works when driver and executors are one machine, as in tests.
+    A fresh folder of our own only works when driver and executors are one machine, as in tests; anywhere else it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
