@@ -18,6 +18,8 @@ from . import analogs
 from .analogs import METRICS, parsed_weights
 from .indicators import by_date, moving_average
 
+#: Queries whose points are broadcast at once; more meet the windows in blocks.
+QUERY_BLOCK = analogs.QUERY_BLOCK
 DEFAULT_COLUMNS = ("AdjClose_Rebased", "MA_20_Rebased", "MA_50_Rebased", "MA_200_Rebased")
 WINDOW = ["SourceFile", "MatchTicker", "RefDate"]
 
@@ -120,7 +122,7 @@ def scores(queries: DataFrame, windows: DataFrame, lookback: int, columns: Seque
     weights = parsed_weights(weights, columns)
     total = sum(weights) or 1.0
     points = reference_points(windows, columns, 1 - lookback, 0)
-    if queries.select("QueryTicker").distinct().count() > analogs.QUERY_BLOCK:
+    if queries.select("QueryTicker").distinct().count() > QUERY_BLOCK:
         return match_in_arrays(queries, windows, lookback, columns, metric, weights)
     asked = queries.select("QueryTicker", "Offset", *[F.col(c).alias(f"__q_{c}") for c in columns])
     met = points.join(F.broadcast(asked), "Offset")  # QUERY_BLOCK x lookback points at most

@@ -1,7 +1,7 @@
 """Remote quotes as a Spark data source: a partition per batch of tickers.
 
 A provider is a picklable object with ``bars(tickers, since) -> iterable of history rows`` and
-``actions(tickers, kind, since) -> iterable of rows``, where since is the first day wanted or None for all; FolderProvider
+``actions(tickers, kind, since) -> iterable of rows``, where since is the first day wanted, left out where all are; FolderProvider
 reads Parquet files and needs no network.  A batch is tried again with growing, jittered pauses; one that keeps failing
 gives a status row for each of its tickers instead of stopping the others.
 
@@ -159,7 +159,8 @@ class QuoteReader(DataSourceReader):
             return
         kind = FETCHED.get(self.table, self.table)
         prices = kind in ("history", "status")
-        fetch = (lambda t: self.provider.bars(t, self.since)) if prices else lambda t: self.provider.actions(t, kind, self.since)
+        span = () if self.since is None else (self.since,)
+        fetch = (lambda t: self.provider.bars(t, *span)) if prices else lambda t: self.provider.actions(t, kind, *span)
         try:
             rows = tried(lambda: list(fetch(partition.tickers)), self.attempts, lambda s: time.sleep(s if self.pause else 0))
         except Exception as e:
