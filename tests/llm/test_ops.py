@@ -581,17 +581,17 @@ def plain_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 12])
-def test_decontamination_against_a_plain_version(spark, block):
+@pytest.mark.parametrize("bits", [decontaminate.MOST_BITS, 1 << 10, 8])
+def test_decontamination_against_a_plain_version(spark, bits):
     draw = np.random.default_rng(6)
     word = lambda n: " ".join(f"Wörd{i}" for i in draw.integers(0, 6, n))
     items = [(1, word(30)), (10, word(12)), (2, word(9)), (3, "Tiny one"), (4, None), (5, "..."), (None, word(11)), (2, word(10))]
     texts = [word(200), f"{items[0][1]}", f"x {items[1][1][:40]} y", word(9), f"a tiny, ONE! {items[6][1]}", None, "", "tiny", LONG, f"{items[2][1]} {items[3][1]}"]
-    got = {r.doc_id: r for r in decontaminate.benchmark_hits(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()}
+    got = {r.doc_id: r for r in decontaminate.benchmark_hits(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), most_bits=bits).collect()}
     for k, t in enumerate(texts):
         assert (got[k].n_words, got[k].n_hit, got[k].items) == plain_hits(t, items)
         assert sum(s.end - s.start for s in got[k].spans) == got[k].n_hit
-    clean = {r.doc_id for r in decontaminate.decontaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()}
+    clean = {r.doc_id for r in decontaminate.decontaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), most_bits=bits).collect()}
     assert clean == {k for k in got if not got[k].n_hit}
 
 
@@ -599,3 +599,32 @@ def test_nothing_to_decontaminate(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.benchmark_hits(docs(spark, TEXTS), none).collect()} == {0}
     assert decontaminate.benchmark_hits(docs(spark, TEXTS).limit(0), none).count() == 0
+    assert decontaminate.decontaminated(docs(spark, TEXTS), none).count() == len(TEXTS)
+
+
+def test_rows_of_a_window_in_many_documents_are_split_and_all_found(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    texts = [f"n{k} {passage} m{k}" if k % 3 == 0 else f"n{k} other words {k} alone {k}" for k in range(600)]
+    items = spark.createDataFrame([(1, passage), (2, f"before {passage}"), (3, "q " * 30)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what is too large to broadcast
+    try:
+        got = decontaminate.benchmark_hits(docs(spark, texts), items).collect()
+        left = decontaminate.decontaminated(docs(spark, texts), items).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 600 and left == 400
+    assert all((r.n_hit, r.items) == ((14, ["1", "2"]) if r.doc_id % 3 == 0 else (0, [])) for r in got)
+
+
+def test_decontamination_of_repeated_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, text, "a"), (1, text, "a"), (1, "clean", "b"), (None, text, "c"), (None, None, "d")]
+    names = "doc_id long, text string, id string"
+    for extra in ("row", "found", "print", "window", "items", "n_words"):
+        names += f", {extra} string"
+    table = spark.createDataFrame([(*r, *"uvwxyz") for r in rows], names)
+    items = spark.createDataFrame([(5, text)], "item_id long, text string")
+    kept = decontaminate.decontaminated(table, items)
+    assert kept.columns == table.columns and sorted(r["id"] for r in kept.collect()) == ["b", "d"]
+    assert sorted(r.n_hit for r in decontaminate.benchmark_hits(table, items).collect()) == [0, 0, 12, 12, 12]

@@ -1,169 +1,163 @@
-"""Benchmark decontamination by winnowing.
-
-Of the hashes of every 5 words in a row, the smallest in every 6 neighbouring places are fingerprints.  A span of 10
-words holds 6 such places, so any 10 words that a document and a benchmark item share give both the same fingerprint.
-Fingerprints that meet are extended: the 10-word windows around them are compared with the item's windows, word for
-word.  Items of fewer than 10 words are one window of their own length, for which every place is a fingerprint.
-
-The benchmark's windows go to the executors in blocks of at most ``BLOCK_WORDS`` words, which bounds what is
-broadcast; documents pass by the blocks one after another, and what the blocks find is united per document.
+"""Benchmark decontamination by winnowing: fingerprints of documents and benchmark meet in a join.
+
+Of every 10 words in a row, the smallest hash of the 5 words from each place on is the fingerprint.  Any 10 words that a
+document and a benchmark item share have the same one.  Fingerprints that meet are extended: the whole window is compared,
+word for word.  Items of fewer than 10 words are one window of their own length, which is its own fingerprint.
+
+What only thins out the rows of the join is a filter of bits that every task holds: a window of a document goes on only
+if its fingerprint and its own hash may be in the benchmark.  Its size follows the benchmark up to ``MOST_BITS``; a
+fuller filter lets more rows through and changes no result.  Documents are read in one pass whatever the size of the
+benchmark, and neither their texts nor the benchmark travel: rows of the join are windows.  Spark sends the benchmark's
+windows to all tasks if they turn out smaller than spark.sql.autoBroadcastJoinThreshold, and otherwise deals both sides
+out by fingerprint and window, where it splits the rows of a frequent window over tasks (spark.sql.adaptive.skewJoin).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-from .words import WordHashes, gram_hashes, kept_rows, pieces
+from .words import WordHashes, gram_hashes, pieces
 
 WINDOW = 10
 GRAM = 5
-#: Words of benchmark items that are broadcast at once.
-BLOCK_WORDS = 500_000
+#: Bits of the filter for each window of the benchmark, and of the whole filter at least and at most (64 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 29
+#: Bits in one row of Spark's bitmap aggregates.
+BUCKET = 32_768
+#: Windows of an item in one Arrow batch.
+BATCH = 20_000
 
 #: Lower-cases A-Z; digits, a-z and all bytes from 0x80 on are word bytes, the rest becomes a space.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
+FOUND = pa.list_(pa.struct([("print", pa.int64()), ("window", pa.string()), ("length", pa.int32()), ("starts", pa.list_(pa.int64()))]))
+
 
 def item_words(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split() if text else []
 
 
-def fingerprints(words: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the winnowed grams.  valid: False for grams that cross from one text to the next."""
+def fingerprints(words: np.ndarray) -> np.ndarray:
+    """The smallest gram hash of the window from each place on."""
     grams = gram_hashes(words, GRAM)
-    if not len(grams):
-        return np.empty(0, np.int64), grams
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    if valid is not None:
-        grams[~valid[: len(grams)]] = top
-    span = WINDOW - GRAM + 1
-    edge = np.full(span - 1, top)
-    padded = np.concatenate([edge, grams, edge])
-    n = len(grams) + span - 1  # windows, those at the edges included
-    low = padded[:n]
-    for j in range(1, span):
-        low = np.minimum(low, padded[j : n + j])
-    best = low[: len(grams)]  # a gram is a fingerprint if it is the smallest of some window that holds it
-    for j in range(1, span):
-        best = np.maximum(best, low[j : len(grams) + j])
-    at = np.flatnonzero((best == grams) & (grams != top))
-    return at, grams[at]
-
-
-@dataclass
-class Windows:
-    """The windows of one length in a block: sorted hashes, where each stands, and the items that hold it."""
-
-    hashes: np.ndarray
-    at: list[tuple[int, int]]
-    items: list[list[int]]
-
-
-@dataclass
-class Block:
-    ids: list[str]
-    words: list[list[bytes]]
-    prints: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    windows: dict[int, Windows] = field(default_factory=dict)
-
-
-def block_of(rows: list[tuple[str, list[bytes]]]) -> Block:
-    """Index the items (id, words) of a block."""
-    block, hashes = Block([r[0] for r in rows], [r[1] for r in rows]), WordHashes()
-    found: dict[int, dict[int, tuple[tuple[int, int], list[int]]]] = {}
-    prints = []
-    for k, words in enumerate(block.words):
-        if not words:
-            continue
-        values = hashes.of(words)
-        length = min(WINDOW, len(words))
-        if length == WINDOW:
-            prints.append(fingerprints(values)[1])
-        seen = found.setdefault(length, {})
-        for start, h in enumerate(gram_hashes(values, length).tolist()):
-            holders = seen.setdefault(h, ((k, start), []))[1]
-            if not holders or holders[-1] != k:
-                holders.append(k)
-    block.prints = np.unique(np.concatenate(prints)) if prints else block.prints
-    for length, seen in found.items():
-        order = sorted(seen)
-        block.windows[length] = Windows(np.array(order, np.uint64), [seen[h][0] for h in order], [seen[h][1] for h in order])
-    return block
-
-
-def among(values: np.ndarray, sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are in sorted_values, and their places there."""
-    if not len(sorted_values):
-        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
-    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-    return sorted_values[at] == values, at
-
-
-def search(texts: list[str | None], block: Block, hashes: WordHashes) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """Of each text: the number of its words, merged spans [start, end) of words in windows, ids of items found."""
+    n = len(words) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    low = grams[:n]
+    for j in range(1, WINDOW - GRAM + 1):
+        low = np.minimum(low, grams[j : n + j])
+    return low
+
+
+def text_of(words: list[bytes]) -> str:
+    """A window as the join compares it; words hold no spaces."""
+    return b" ".join(words).decode()
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """All windows of all items: item (as a string), length, print, whole (hash of the window), window (its words)."""
+    types = pa.schema([("item", pa.string()), ("length", pa.int32()), ("print", pa.int64()), ("whole", pa.int64()), ("window", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for piece, texts in pieces(batches, 1):
+            for item, text in zip(piece.column(0).to_pylist(), texts, strict=True):
+                words = item_words(text)
+                if not words:
+                    continue
+                values, length = hashes.of(words), min(WINDOW, len(words))
+                whole = gram_hashes(values, length)
+                prints = fingerprints(values) if length == WINDOW else whole
+                for a in range(0, len(whole), BATCH):
+                    n = min(BATCH, len(whole) - a)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([item] * n, pa.string()),
+                            pa.array([length] * n, pa.int32()),
+                            pa.array(prints[a : a + n].view(np.int64)),
+                            pa.array(whole[a : a + n].view(np.int64)),
+                            pa.array([text_of(words[k : k + length]) for k in range(a, a + n)], pa.string()),
+                        ],
+                        schema=types,
+                    )
+
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
+    return items.mapInArrow(cut, "item string, length int, print long, whole long, window string")
+
+
+def bit_filter(windows: DataFrame, most_bits: int) -> np.ndarray:
+    """Bits, packed into bytes, at the places of all fingerprints and windows.  Spark sets them; what is collected is the filter alone."""
+    wanted = max(LEAST_BITS, BITS_EACH * windows.count())
+    bits = min(most_bits, 1 << (wanted - 1).bit_length())
+    place = windows.select(F.explode(F.array("print", "whole")).alias("hash")).select((F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1).alias("place"))
+    rows = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(max(bits, BUCKET) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        begin = (r.bucket - 1) * BUCKET // 8
+        out[begin : begin + BUCKET // 8] = np.frombuffer(r.bits, np.uint8)
+    return out[: max(bits // 8, 1)]
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def probe(texts: list[str | None], bits: np.ndarray, lengths: list[int], hashes: WordHashes) -> list[tuple[int, list[dict]]]:
+    """Of each text: the number of its words, and its windows that may be in the benchmark, each once with all its places."""
     lists = [item_words(t) for t in texts]
     counts = np.array([len(x) for x in lists], np.int64)
     words = [w for x in lists for w in x]
     ends = np.cumsum(counts)
     values = hashes.of(words)
     left = np.repeat(ends, counts) - np.arange(len(words))  # words from here to the end of the text
+    found: list[dict[str, dict]] = [{} for _ in texts]
+    for length in lengths:
+        if length == WINDOW:
+            low = fingerprints(values)
+            begins = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
+            met = np.repeat(may_hold(bits, low[begins]), np.diff(np.append(begins, len(low))))  # neighbours share fingerprints
+            starts = np.flatnonzero(met)
+            starts = starts[left[starts] >= length]
+            prints, whole = low[starts], gram_hashes(values, length, starts)
+        else:
+            starts = np.flatnonzero(left >= length)
+            prints = whole = gram_hashes(values, length, starts)
+        yes = may_hold(bits, whole)
+        docs = np.searchsorted(ends, starts[yes], side="right")
+        for k, start, value in zip(docs.tolist(), starts[yes].tolist(), prints[yes].view(np.int64).tolist(), strict=True):
+            window = text_of(words[start : start + length])
+            new = {"print": value, "window": window, "length": length, "starts": []}
+            found[k].setdefault(window, new)["starts"].append(start - int(ends[k] - counts[k]))
+    return [(n, list(f.values())) for n, f in zip(counts.tolist(), found, strict=True)]
+
+
+def probed(rows: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+    """rows (id, text, row) without their texts: id, row, n_words, found."""
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for piece, texts in pieces(batches, 1, 1_000_000):
+            got = probe(texts, sent.value, lengths, hashes)
+            columns = {"id": piece.column(0), "row": piece.column(2), "n_words": pa.array([n for n, _ in got], pa.int64()), "found": pa.array([f for _, f in got], FOUND)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    spec = "found array<struct<print:long,window:string,length:int,starts:array<long>>>"
+    return rows.select("id", "text", "row").mapInArrow(search, f"id {rows.schema['id'].dataType.simpleString()}, row long, n_words long, {spec}")
 
-    hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-
-    def extend(length: int, starts: np.ndarray) -> None:
-        known = block.windows[length]
-        starts = starts[left[starts] >= length]
-        yes, where = among(gram_hashes(values, length, starts), known.hashes)
-        for start, w in zip(starts[yes].tolist(), where[yes].tolist(), strict=True):
-            item, begin = known.at[w]
-            if words[start : start + length] != block.words[item][begin : begin + length]:
-                continue  # equal hashes of different words
-            doc = int(np.searchsorted(ends, start, side="right"))
-            spans, ids = hits.setdefault(doc, ([], set()))
-            spans.append((start, start + length))
-            ids.update(block.ids[i] for i in known.items[w])
-
-    if WINDOW in block.windows and len(words) >= GRAM:
-        at, prints = fingerprints(values, left >= GRAM)
-        met = at[among(prints, block.prints)[0]]
-        if len(met):
-            around = np.unique(np.concatenate([met - j for j in range(WINDOW - GRAM + 1)]))
-            extend(WINDOW, around[around >= 0])  # those that begin in the text before run over its end, and are dropped
-    for length in block.windows:
-        if length < WINDOW and len(words) >= length:
-            extend(length, np.arange(len(words) - length + 1))
-
-    out = []
-    for k, n in enumerate(counts.tolist()):
-        spans, ids = hits.get(k, ([], set()))
-        begin, merged = int(ends[k] - counts[k]), []
-        for a, b in sorted(spans):
-            if merged and a - begin <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], b - begin))
-            else:
-                merged.append((a - begin, b - begin))
-        out.append((n, merged, ids))
-    return out
-
-
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[Block]:
-    """The benchmark, read item by item, in blocks of at most ``most`` words (a longer item is a block of its own)."""
-    rows, size = [], 0
-    for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), text_col).toLocalIterator():
-        words = item_words(r[1])
-        if rows and size + len(words) > most:
-            yield block_of(rows)
-            rows, size = [], 0
-        rows.append((r[0], words))
-        size += len(words)
-    yield block_of(rows)
+
+def indexed(benchmark: DataFrame, item_col: str, text_col: str, most_bits: int) -> tuple[DataFrame, np.ndarray, list[int]]:
+    """The benchmark's windows as a table, their filter, and the lengths that occur (10 at most)."""
+    windows = written(benchmark_windows(benchmark, item_col, text_col), "benchmark-windows")
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    return windows, bit_filter(windows, most_bits), lengths
 
 
 def benchmark_hits(
@@ -173,78 +167,42 @@ def benchmark_hits(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_words: int = BLOCK_WORDS,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_hit (words inside windows), items (ids as strings, sorted), spans.
 
     spans: merged [start, end) of word places.  Null and empty texts have no words, on either side; a null item id is
-    the item "null"; items that repeat an id count once.  Texts are searched whole.  An empty benchmark hits nothing;
-    empty documents give an empty result.  Other columns are not read.
+    the item "null"; items that repeat an id count once.  Texts are searched whole, very long ones too; rows that repeat
+    an id or a text are rows of their own.  An empty benchmark hits nothing; empty documents give an empty result.  Other
+    columns are not read, whatever their names.  most_bits: a power of two, from 8 on.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    count, found = 0, None
-    for block in blocks(benchmark, item_col, item_text_col, block_words):
-        count += 1
-        if count == 2:  # several blocks: rows need numbers to meet again, and writing fixes them
-            rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-            found = None
-            break
-        found = searched(rows.withColumn("row", F.lit(0).cast("long")), block)
-    if found is None:
-        for block in blocks(benchmark, item_col, item_text_col, block_words):
-            one = searched(rows, block)
-            found = one if found is None else found.unionByName(one)
-        found = united(found)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "items", "spans")
-
-
-SPANS = "array<struct<start:long,end:long>>"
-
-
-def searched(rows: DataFrame, block: Block) -> DataFrame:
-    """rows (id, text, row) with what one block finds in them."""
-    sent = rows.sparkSession.sparkContext.broadcast(block)
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for piece, texts in pieces(batches, 1):
-            found = search(texts, sent.value, hashes)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": piece.column(0),
-                    "row": piece.column(2),
-                    "n_words": pa.array([n for n, _, _ in found], pa.int64()),
-                    "spans": pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found], spans_type),
-                    "items": pa.array([sorted(ids) for _, _, ids in found], pa.list_(pa.string())),
-                }
-            )
-
-    id_type = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "text", "row").mapInArrow(search_all, f"id {id_type}, row long, n_words long, spans {SPANS}, items array<string>")
-
-
-def united(found: DataFrame) -> DataFrame:
-    """What several blocks find in a row: overlapping spans merge, items count once."""
-    last = lambda out: F.try_element_at(out, F.lit(-1))
-    merged = F.aggregate(
-        "spans",
-        F.expr(f"cast(array() as {SPANS})"),
-        lambda out, s: F.when(
-            s["start"] <= F.coalesce(last(out)["end"], F.lit(-1)),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(s))),
+    windows, bits, lengths = indexed(benchmark, item_col, item_text_col, most_bits)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    seen = written(probed(rows, bits, lengths), "decontaminate")  # rows have their numbers for good
+    holders = windows.groupBy("print", "window").agg(F.collect_set("item").alias("items"))
+    met = seen.select("row", F.explode("found").alias("f")).select("row", "f.*").join(holders, ["print", "window"])
+    return seen.join(merged(met), "row", "left").select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("spans"),
     )
-    return (
-        found.groupBy("row")
-        .agg(
-            F.first("id").alias("id"),
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .withColumn("spans", merged)
+
+
+def merged(met: DataFrame) -> DataFrame:
+    """Windows met (row, length, starts, items) by row: n_hit, items, spans.  One exchange by row serves all three steps."""
+    at = met.select("row", "length", "items", F.posexplode("starts").alias("nth", "start"))
+    at = at.select("row", "start", (F.col("start") + F.col("length")).alias("end"), F.when(F.col("nth") == 0, F.col("items")).alias("items"))
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("begins", (reach.isNull() | (F.col("start") > reach)).cast("long"))
+    at = at.withColumn("span", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = at.groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return spans.groupBy("row").agg(
+        F.sum(F.col("end") - F.col("start")).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
     )
 
 
@@ -254,15 +212,18 @@ def decontaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_words: int = BLOCK_WORDS,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
-    """The rows of ``docs`` that share no window with the benchmark, with all their columns: each block is a filter, one after another."""
-    for block in blocks(benchmark, item_col, item_text_col, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+    """The rows of ``docs`` that share no window with the benchmark, with all their columns, whatever their names.
 
-        def make_judge(sent=sent):
-            hashes = WordHashes()
-            return lambda texts: np.array([not spans for _, spans, _ in search(texts, sent.value, hashes)], bool)
-
-        docs = kept_rows(docs, text_col, make_judge)
-    return docs
+    Equal texts stay or go together, known by SHA-256, so rows need no identifiers; null and empty texts stay.  An empty
+    benchmark takes nothing away; an empty table stays empty.
+    """
+    windows, bits, lengths = indexed(benchmark, item_col, item_text_col, most_bits)
+    digest = F.sha2(F.encode(docs[text_col], "UTF-8"), 256)
+    rows = docs.select(digest.alias("id"), docs[text_col].alias("text"), F.lit(0).cast("long").alias("row"))
+    seen = probed(rows, bits, lengths).select("id", F.explode("found").alias("f"))
+    known = windows.select("print", "window").distinct()
+    hit = seen.select("id", F.col("f.print").alias("print"), F.col("f.window").alias("window")).join(known, ["print", "window"]).select("id").distinct()
+    hit = written(hit, "decontaminate")
+    return docs.join(hit, digest == hit["id"], "left_anti")
