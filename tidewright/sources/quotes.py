@@ -8,6 +8,9 @@ gives a status row for each of its tickers instead of stopping the others.
 Which tickers and days are wanted reaches the provider: days by the option ``since``, and both by filters on Ticker and
 Date that Spark pushes down (fetch turns that on).  Spark applies its filters once more, so a provider may send more
 than was asked for.
+
+As a stream (follow), the offset is the last day of each ticker; a micro-batch holds the days after it.  For that a
+provider has ``latest(tickers) -> {ticker: last complete day}`` too, which never goes back.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from typing import Protocol
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
 from ..operators.prep import batches
 from ..schema import DIVIDENDS, HISTORY, SPLITS, struct
@@ -64,6 +67,13 @@ class FolderProvider:
     def bars(self, tickers: list[str], since: dt.datetime | None = None) -> Iterator[tuple]:
         return self._rows("history", HISTORY, tickers, since)
 
+    def latest(self, tickers: list[str]) -> dict[str, dt.datetime]:
+        days: dict[str, dt.datetime] = {}
+        for t, day in self._rows("history", "Ticker string,Date timestamp_ntz", tickers, None):
+            if day is not None:
+                days[t] = max(days.get(t, day), day)
+        return days
+
     def actions(self, tickers: list[str], kind: str, since: dt.datetime | None = None) -> Iterator[tuple]:
         return self._rows(kind, {"dividends": DIVIDENDS, "splits": SPLITS}[kind], tickers, since)
 
@@ -96,6 +106,11 @@ class NetworkProvider:
             for day, *prices, volume in named.itertuples(name=None):
                 yield (t, day.to_pydatetime(), *map(number, prices), None if volume != volume else int(volume))
 
+    def latest(self, tickers: list[str]) -> dict[str, dt.datetime]:
+        """Yesterday in UTC, for all: a day that is not over may still change."""
+        day = dt.datetime.combine(dt.datetime.now(dt.UTC).date(), dt.time()) - dt.timedelta(days=1)
+        return dict.fromkeys(tickers, day)
+
     def actions(self, tickers: list[str], kind: str, since: dt.datetime | None = None) -> Iterator[tuple]:
         name = {"dividends": "Dividends", "splits": "Stock Splits"}[kind]
         for t, frame in self._frames(tickers, since):
@@ -179,6 +194,46 @@ class QuoteReader(DataSourceReader):
             yield from rows
 
 
+class Days(InputPartition):
+    """Tickers of a batch with new days, each with its last old day, if any, and its last new one."""
+
+    def __init__(self, spans: dict[str, tuple[str | None, str]]) -> None:
+        super().__init__(spans)
+        self.spans = spans
+
+
+class QuoteStream(DataSourceStreamReader):
+    """New bars of each ticker.  What keeps failing fails the micro-batch, which runs again: no day is skipped."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.provider = cloudpickle.loads(bytes.fromhex(options["provider"]))
+        self.groups = [x.split("\t") for x in options["batches"].split("\n") if x]
+        self.attempts, self.pause = int(options.get("attempts", ATTEMPTS)), float(options.get("pause", PAUSE))
+
+    def retried(self, call: Callable[[], list]) -> list:
+        return tried(call, self.attempts, lambda s: time.sleep(s if self.pause else 0))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        days = {t: d.isoformat() for g in self.groups for t, d in self.retried(lambda g=g: list(self.provider.latest(g).items()))}
+        return dict(sorted(days.items()))
+
+    def partitions(self, start: dict, end: dict) -> list[Days]:
+        spans = [{t: (start.get(t), end[t]) for t in g if t in end and (t not in start or start[t] < end[t])} for g in self.groups]
+        return [Days(x) for x in spans if x]
+
+    def read(self, partition: Days) -> Iterator[tuple]:
+        day = dt.datetime.fromisoformat
+        spans = {t: (day(a) if a else dt.datetime.min, day(b)) for t, (a, b) in partition.spans.items()}
+        first = min(a for a, _ in spans.values())
+        since = () if first == dt.datetime.min else (first,)
+        rows = self.retried(lambda: list(self.provider.bars(list(spans), *since)))
+        time.sleep(self.pause)
+        yield from (r for r in rows if r[0] in spans and r[1] is not None and spans[r[0]][0] < r[1] <= spans[r[0]][1])
+
+
 class Quotes(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -191,6 +246,17 @@ class Quotes(DataSource):
     def reader(self, schema) -> QuoteReader:
         return QuoteReader(self.options)
 
+    def streamReader(self, schema) -> QuoteStream:
+        if self.options.get("table", "history") != "history":
+            raise ValueError("only the history is a stream")
+        return QuoteStream(self.options)
+
+
+def listed(universe: DataFrame, batch_size: int) -> str:
+    """The universe's batches as an option: a line each, tickers between tabs."""
+    groups = batches(universe, batch_size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("t")).orderBy("batch").collect()
+    return "\n".join("\t".join(x.ticker for x in r.t) for r in groups)
+
 
 def fetch(spark: SparkSession, universe: DataFrame, provider: Provider, table: str = "history", batch_size: int = 30, **options: object) -> DataFrame:
     """Rows of a table for the universe's tickers (ticker, ord): history, dividends, splits, status, or one of FETCHED, which has rows and status.
@@ -199,9 +265,19 @@ def fetch(spark: SparkSession, universe: DataFrame, provider: Provider, table: s
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses a source that takes filters where this is off
     spark.dataSource.register(Quotes)
-    groups = batches(universe, batch_size).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("ord", "ticker"))).alias("t")).orderBy("batch").collect()
-    listed = "\n".join("\t".join(x.ticker for x in r.t) for r in groups)
-    reader = spark.read.format("quotes").option("provider", cloudpickle.dumps(provider).hex()).option("table", table).option("batches", listed)
+    reader = spark.read.format("quotes").option("provider", cloudpickle.dumps(provider).hex()).option("table", table).option("batches", listed(universe, batch_size))
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
+
+
+def follow(spark: SparkSession, universe: DataFrame, provider: Provider, batch_size: int = 30, **options: object) -> DataFrame:
+    """A stream of the universe's bars: at first all, then those of new days.  A ticker that joins later comes with its whole history.
+
+    With the same checkpoint a restart neither repeats nor skips a bar.  options: attempts, pause.
+    """
+    spark.dataSource.register(Quotes)
+    reader = spark.readStream.format("quotes").option("provider", cloudpickle.dumps(provider).hex()).option("batches", listed(universe, batch_size))
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()

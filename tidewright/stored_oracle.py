@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.match import DEFAULT_COLUMNS
-from .oracle import AFTERWARDS, BARS, GAPS, HEAD, HISTORY, ROWS, TICKS, asked, dated, featured, r, ranked, scored, topped, windowed
+from .oracle import AFTERWARDS, BARS, GAPS, HEAD, HISTORY, ROWS, SQL, TICKS, asked, dated, featured, r, ranked, scored, topped, windowed
 from .queries import MATCH
 from .stored_queries import HEAD as CSV_HEAD
 from .stored_queries import PLACES_SHOWN, REASON, TAIL, TODAY
@@ -46,6 +46,8 @@ WITH_DATES = {
     "windows_input": f"WITH {TICKS}, {LAST} SELECT Ticker, Date, {r(CLOSE, 'Close')}, {r('price', 'MA_3')} FROM last",
     "query_features": f"WITH {FEATURES} SELECT Ticker, Date, {r('AdjClose')}, {r('MA_5')} FROM f WHERE Ticker IN ('BUILDING', 'HOUSEHOLD')",
     "quotes_history": f"WITH {BARS} SELECT {HEAD} FROM bars",
+    "stream_quotes": SQL["bars"],
+    "stream_features": SQL["features_full"],
     "quotes_actions": f"WITH {TICKS}, {PAID} SELECT Ticker, Date, {r('Dividend')} FROM paid",
     "quotes_splits": f"WITH {TICKS}, {SPLIT} SELECT Ticker, Date, SplitRatio FROM split",
     "quotes_since": f"WITH {BARS} SELECT {HEAD} FROM bars WHERE Ticker <> 'BUILDING' AND Date >= DATE '1998-01-15'",

@@ -18,12 +18,15 @@ from .operators import analogs, indicators, match, prep, report, windows
 from .plans import stages
 from .plans.bars import bars, bars_with_gaps, table, ticks
 from .queries import AFTER, BEFORE, HORIZON, LOOKBACK, MATCH, TOP, Query, shown
-from .schema import HISTORY_COLUMNS, PRICE_COLUMNS
+from .schema import HISTORY, HISTORY_COLUMNS, PRICE_COLUMNS, struct
 from .sinks import tables
 from .sources import files, quotes
+from .streaming import features, ingest
 
 PLACES_SHOWN, HEAD, TAIL = 4, 30, 20
 TODAY = "1998-08-02"
+#: The first day that comes to a stream in its second run.
+SECOND = "1996-05-17"
 #: The preset's match: 75 days, 25 more, four columns.
 WIDE = match.DEFAULT_COLUMNS
 
@@ -356,6 +359,30 @@ def quotes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(asked.where("Ticker <> 'BUILDING' AND Date >= timestamp_ntz'1998-01-15'"))
 
 
+def halves(rows: DataFrame) -> list[DataFrame]:
+    """Rows before a day, and from it on: what is there at first, and what comes later."""
+    return [rows.where(f"Date < timestamp_ntz'{SECOND}'"), rows.where(f"Date >= timestamp_ntz'{SECOND}'")]
+
+
+def stream_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history that a stream of quotes stores in two runs, between which the provider gets new days."""
+    out, wanted = folder(spark), segments(spark, sf_dir, "NONE")
+    provider = quotes.FolderProvider(f"{out}/quotes")
+    for rows in halves(bars(spark, sf_dir)):
+        rows.write.mode("append").parquet(f"{out}/quotes/history.parquet")
+        ingest.append_history(quotes.follow(spark, wanted, provider, 2, pause=0), f"{out}/history", f"{out}/state").awaitTermination()
+    return shown(spark.read.schema(struct(HISTORY)).parquet(f"{out}/history"))
+
+
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a stream of bars in two runs; the second carries on with the state of the first."""
+    out = folder(spark)
+    for rows in halves(bars_with_gaps(spark, sf_dir)):
+        rows.write.mode("append").parquet(f"{out}/bars")
+        features.append_features(ingest.bar_stream(spark, f"{out}/bars"), f"{out}/features", f"{out}/state").awaitTermination()
+    return shown(spark.read.parquet(f"{out}/features").drop("late"))
+
+
 def quote_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days that a query of the preset's size asks for."""
     wanted = match.days_needed(75)
@@ -492,6 +519,8 @@ STORED: dict[str, Query] = {
     "quotes_actions": quoted("dividends"),
     "quote_range": quote_range,
     "quotes_since": quotes_since,
+    "stream_features": stream_features,
+    "stream_quotes": stream_quotes,
     "quotes_splits": quoted("splits"),
     "text_tickers": text_tickers,
     "fetch_retries": retried,
