@@ -252,6 +252,39 @@ def test_recall_by_similarity(spark):
     assert all(c // 2 == d // 2 for d, c in classes.items())
 
 
+def test_passages_like_a_third_lose_no_link(spark):
+    """A and B, B and C are near copies, A and C are not: B, which is like the leader, still meets C, which is not."""
+    draw = np.random.default_rng(14)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**9, n)]
+    texts, line = [], text(34)
+    for k in range(60):
+        a = text(13) + line + text(13) if k % 2 else text(60)
+        b = a[:20] + ["one"] + a[21:]
+        c = b[:40] + ["two"] + b[41:]
+        assert set_likeness(shingles(a), shingles(c)) < passages.SIMILARITY < min(set_likeness(shingles(a), shingles(b)), set_likeness(shingles(b), shingles(c)))
+        texts += [" ".join(text(30) + x + text(30)) for x in (a, b, c)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.repeated_passages(docs(spark, texts)).collect()}
+    assert got == {d: (d - d % 3, 2 if d % 3 == 1 else 1) for d in range(len(texts))}
+
+
+def test_pairs_of_every_similarity_are_found_in_blocks(spark, monkeypatch):
+    """Near copies at the threshold, all with a frequent line; groups of any size give the same."""
+    draw = np.random.default_rng(15)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**9, n)]
+    texts, line = [], text(26)
+    while len(texts) < 240:
+        core = text(int(draw.integers(10, 30))) + line + text(int(draw.integers(10, 30)))
+        at = int(draw.integers(0, len(core)))
+        near = core[:at] + text(int(draw.integers(0, 2))) + core[at + 1 :]
+        if len(near) >= 50 and set_likeness(shingles(core), shingles(near)) >= passages.SIMILARITY:
+            texts += [" ".join(text(60) + core + text(30)), " ".join(text(20) + near + text(70))]
+    for block, leads in ((passages.BLOCK, passages.LEADS), (7, 0)):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        monkeypatch.setattr(passages, "LEADS", leads)
+        classes = {r.doc_id: r.class_id for r in passages.repeated_passages(docs(spark, texts)).collect()}
+        assert classes == {d: d - d % 2 for d in range(len(texts))}
+
+
 @pytest.mark.parametrize("change", ["replace", "insert", "delete"])
 def test_a_changed_word_at_any_place(change):
     draw = np.random.default_rng(9)
