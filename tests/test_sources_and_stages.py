@@ -234,3 +234,26 @@ def test_presets_and_a_flag_beside_one():
         made = config.configured(kinds[kind], preset)
         assert {f.name: getattr(made, f.name) for f in fields(made) if getattr(made, f.name) != f.default} == want
     assert config.from_flags(config.Windows, ["--preset", "standard", "--before=60"]).before == 60
+
+
+def test_days_are_dealt_out_whole_and_in_order(spark, tmp_path):
+    """The messy input of the readers' queries: no task holds all rows, none holds a part of a ticker's day."""
+    from tidewright import stored_queries
+
+    orders = [(k, k % 40, dt.date(1995, 1, 1 + k % 28), float(k)) for k in range(2_000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"S{k % 5}") for k in range(40)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = stored_queries.messy(spark, str(tmp_path)).withColumns({"task": F.spark_partition_id(), "nth": F.monotonically_increasing_id()}).orderBy("nth").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(rows) == 2_000 and len({r.task for r in rows}) > 1
+    tasks, prices = {}, {}
+    for r in rows:
+        if r.Date != "no date":
+            tasks.setdefault((r.Ticker, r.Date), set()).add(r.task)
+        prices.setdefault(r.task, []).append(float(r.AdjClose))
+    assert all(len(x) == 1 for x in tasks.values()) and all(p == sorted(p) for p in prices.values())
