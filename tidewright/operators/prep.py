@@ -73,7 +73,8 @@ def adjusted_only(df: DataFrame) -> DataFrame:
 def coerced(df: DataFrame, seq: str, numeric: list[str], keys: tuple[str, ...] = KEY) -> DataFrame:
     """An input of the later stages: dates and numbers coerced, rows without a date dropped, the last row of a key stays."""
     out = df.withColumns({"Date": to_date(F.col("Date")), **{c: to_number(F.col(c)) for c in numeric}})
-    return keep_last(out.dropna(subset=["Date"]), seq, keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many for tables of any size: rows with their place shrink in a shuffle, and few tasks would sort many
+    return keep_last(out.dropna(subset=["Date"]).repartition(parts, *keys), seq, keys)
 
 
 def incremental_merge(existing: DataFrame | None, new: DataFrame, seq: str) -> DataFrame:
