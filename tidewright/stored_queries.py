@@ -205,7 +205,8 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several rows a day, some without a date or with a price that is none; the rows of a day of a ticker are in one file, in order."""
     price = F.col("price").cast("string")
     rows = ticks(spark, sf_dir).withColumns({"Day": F.when(F.col("seq") % 17 == 0, "no date").otherwise(F.date_format("Date", "yyyy-MM-dd")), "Close": F.when(F.col("seq") % 5 == 0, "n/a").otherwise(price), "AdjClose": price})
-    return rows.repartition("Ticker", rows["Date"]).sortWithinPartitions("seq").select("Ticker", F.col("Day").alias("Date"), "Close", "AdjClose")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many for tables of any size
+    return rows.repartition(parts, "Ticker", rows["Date"]).sortWithinPartitions("seq").select("Ticker", F.col("Day").alias("Date"), "Close", "AdjClose")
 
 
 def features_input(kind: str) -> Query:
