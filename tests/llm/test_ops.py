@@ -548,6 +548,24 @@ def test_repeated_rows_are_drawn_as_often_as_planned(spark):
     assert mixing.mixed_documents(table.limit(0)).count() == 0
 
 
+def test_the_mix_deals_its_texts_out_once(spark):
+    rows = [(k % 50, "w " * (k % 7), "a" if k % 3 else None) for k in range(200)] + [(None, "w w", None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = mixing.mixed_documents(table)
+        lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+        at = next(k for k, line in enumerate(lines) if "Window [row_number" in line)
+        assert sum("Exchange hashpartitioning(key" in line for line in lines[: next(k for k in range(at, len(lines)) if "xxhash64(text" in lines[k])]) == 1
+        planned = sum(r.copies for r in mixing.mixed(table).collect())
+        assert abs(got.count() - planned) <= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_toxicity_learns_from_tables_with_clashing_columns(spark, monkeypatch):
     texts, labels = toxic_corpus()
     rows = spark.createDataFrame([(k, t, 0, "k", 1) for k, t in enumerate(texts)] + [(10**6, "a " * 5000, 0, "k", 1)], "doc_id long, text string, y int, key string, id int")

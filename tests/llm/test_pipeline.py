@@ -125,6 +125,25 @@ def test_recall_in_large_bands(spark):
     assert gone <= {b for _, b in pairs} and len(gone) >= 0.95 * len(pairs)
 
 
+def test_bounds_on_sets_rule_out_no_pair_that_is_alike(spark):
+    draw = np.random.default_rng(8)
+    texts = []
+    for _ in range(8):
+        own = [f"w{i}" for i in draw.integers(0, 10**6, int(draw.integers(3, 900)))]
+        texts.append(own)
+        for n in (1, 2, 4, 8, 40, 200):
+            other = list(own)
+            for at in draw.integers(0, len(own), n):
+                other[at] = "changed"
+            texts.append(other)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = written(near_copies.sketches(spark.createDataFrame(rows, "id long, text string")), "sketches")
+    all_pairs = [(a, b) for a, _ in rows for b, _ in rows if a < b]
+    left = {(r.a, r.b) for r in near_copies.maybe_alike(spark.createDataFrame(all_pairs, "a long, b long"), sets, 0.8).collect()}
+    assert {(a, b) for a, b in all_pairs if alike(rows[a][1], rows[b][1]) >= 0.8} <= left
+    assert len(left) < 0.2 * len(all_pairs)
+
+
 def test_identifiers_of_text_and_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [("b", text, 1, "x"), ("a", text + " end", 2, "y"), ("c", "other words", 3, "z"), (None, text, 4, "n")]

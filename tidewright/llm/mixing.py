@@ -127,7 +127,7 @@ def mixed(
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", preference: Column | None = None, **names) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", preference: Column | None = None, repeats: int = REPEATS, **names) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all, or up to ``repeats`` times), with all their columns.
 
     Rows that repeat an identifier are drawn one by one; those that also repeat text and source are drawn alike, and which
@@ -136,13 +136,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """
     parts = {"id": F.col(id_col), "content": F.xxhash64(text_col), "source": F.col(source_col)}
     asked = docs.select(F.struct(*[c.alias(n) for n, c in parts.items()]).alias("key"), parts["source"], F.col(text_col).alias("text"), (F.lit(None) if preference is None else preference).cast("double").alias("prefer"))
-    draws = mixed(asked, "key", preference=None if preference is None else F.col("prefer"), **names).where("copies > 0")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("copies").desc()))
-    draws = draws.select("copies", F.struct(*[F.col(f"key.{n}") for n in parts], nth.alias("nth")).alias("drawn"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in parts.items()])
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*parts).orderBy(F.lit(1))))
-    same = F.lit(True)
-    for n in (*parts, "nth"):
-        same = same & F.col(n).eqNullSafe(F.col(f"drawn.{n}"))
-    taken = rows.join(draws, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select("row.*")
+    draws = mixed(asked, "key", preference=None if preference is None else F.col("prefer"), repeats=repeats, **names).where("copies > 0")
+    # Of the rows of a key, so many are taken once at least, twice at least, and so on; that is all that meets the texts, which are dealt out once.
+    draws = draws.groupBy(F.col("key").alias("drawn")).agg(*[F.count_if(F.col("copies") >= n).alias(f"taken_{n}") for n in range(1, repeats + 1)])
+    key = F.struct(*[c.alias(n) for n, c in parts.items()]).cast(draws.schema["drawn"].dataType)  # of one type, so join and window share an exchange
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    copies = sum((F.when(F.col("nth") <= F.col(f"taken_{n}"), 1).otherwise(0) for n in range(1, repeats + 1)), F.lit(0))
+    taken = rows.join(draws, F.col("key") == F.col("drawn")).withColumn("nth", nth).withColumn("copies", copies).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
