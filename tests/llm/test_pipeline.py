@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, near_copies, simhash, token_store
+from tidewright.llm import decontaminate, near_copies, shared, simhash, token_store
 from tidewright.llm.shared import table, written
 
 from .test_ops import DATA, LOWER, TOKENIZER, plain_fingerprint, plain_hits
@@ -178,3 +178,24 @@ def test_item_words_and_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_rows_that_match_whatever_the_filter(spark):
+    rows = spark.createDataFrame([(k % 30 if k % 7 else None, str(k)) for k in range(90)], "doc_id long, text string")
+    for wanted in ([3, 5, None], [3, 29], []):
+        ids = spark.createDataFrame([(k,) for k in wanted], "id long")
+        for bits in (8, 1 << 23):
+            key = rows["doc_id"]
+            some, others = shared.matching(rows, key, ids, bits), shared.not_matching(rows, key, ids, bits)
+            assert some.columns == others.columns == rows.columns
+            assert {r.text for r in some.collect()} == {r.text for r in rows.collect() if r.doc_id in wanted}
+            assert some.count() + others.count() == 90 and not {r.text for r in others.collect()} & {r.text for r in some.collect()}
+
+
+def test_near_copies_end_when_bands_are_small(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(7 * k + j) if j > 20 else j}" for j in range(60))) for k in range(40)]
+    rows += [(100 + k, t.replace("w5 ", "changed ")) for k, t in rows]
+    table, made = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(near_copies, "new_folder", lambda spark, name, f=near_copies.new_folder: made.append(name) or f(spark, name))
+    want = {b for a, x in rows for b, y in rows if a < b and alike(x, y) >= 0.8}
+    assert {r.id for r in near_copies.near_copies(table).collect()} == want and made.count("bands") <= 2
