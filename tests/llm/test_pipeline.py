@@ -7,6 +7,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -199,3 +200,21 @@ def test_near_copies_end_when_bands_are_small(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "new_folder", lambda spark, name, f=near_copies.new_folder: made.append(name) or f(spark, name))
     want = {b for a, x in rows for b, y in rows if a < b and alike(x, y) >= 0.8}
     assert {r.id for r in near_copies.near_copies(table).collect()} == want and made.count("bands") <= 2
+
+
+def test_stages_hand_tasks_small_batches(spark, monkeypatch):
+    """Texts of 3,000 characters go to Python 4 MB at a time and not 10,000 rows, also where a stage's table is only written later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('0123456789', 300) AS text")
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    monkeypatch.setattr(corpus_pipeline, "decontaminated", lambda docs, _: docs.mapInArrow(bytes_of, "bytes long"))
+    try:
+        sizes = [r.bytes for r in corpus_pipeline.decontamination(spark, docs, DATA).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(sizes) > 6000 * 3000 and max(sizes) < 2 * shared.BATCH_BYTES
