@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -14,8 +15,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, components, decontaminate, exact_dedup, language, mixing, passages, queries, simhash, token_store, toxicity, warc
-from tidewright.llm.shared import new_folder
+from tidewright.llm import chat, components, decontaminate, exact_dedup, language, mixing, passages, queries, shared, simhash, token_store, toxicity, warc
+from tidewright.llm.shared import new_folder, written
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -335,6 +336,27 @@ def test_exact_runs_of_50_words_are_all_found(spark):
     assert pairs and all(classes[a] & classes[b] for a, b in pairs)
 
 
+def test_passages_leave_no_table_nor_shuffle_behind(spark):
+    """What was only on the way is gone when the result is returned, and only texts that take part are shuffled."""
+    line, rng = [f"s{k}" for k in range(60)], np.random.default_rng(11)
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**9, 80)), *(line if k < 6 else [])]) for k in range(300)]
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    tables = lambda: {x for x in os.listdir(folder) if x.startswith(("passage-rows", "passage-pairs", "passage-ids"))}
+    shuffled = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if "shuffle_" in str(f)}
+    rows = written(docs(spark, texts), "few-passages")
+    seen, before = tables(), shuffled()
+    result = passages.repeated_passages(rows)
+    for _ in range(40):  # files go in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.25)
+    assert not left and tables() == seen
+    assert sorted(r.doc_id for r in result.collect()) == list(range(6)) and len({r.class_id for r in result.collect()}) == 1
+    ids = written(spark.range(6).toDF("id"), "few-ids")
+    assert 6 <= passages.texts_of(rows.withColumnRenamed("doc_id", "id"), ids)[0].count() < 20
+
+
 # token store
 
 
