@@ -357,6 +357,49 @@ def test_passages_leave_no_table_nor_shuffle_behind(spark):
     assert 6 <= passages.texts_of(rows.withColumnRenamed("doc_id", "id"), ids)[0].count() < 20
 
 
+def test_pairs_that_go_to_texts_grow_with_rows_not_pairs(spark, monkeypatch):
+    """Documents with runs of the same word and different ones beside it, and versions of a passage whose first has few like it."""
+    draw = np.random.default_rng(21)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**9, n)]
+    texts = [" ".join(text(60) + ["the"] * 44 + text(1) * 44 + text(60)) for _ in range(70)]
+    core, first = text(80), len(texts)
+    for k in range(70):
+        copy = list(core)
+        for at in (39, 40) if k < 5 else draw.choice([8, 20, 60, 72], 2, replace=False):
+            copy[at] = text(1)[0]
+        texts.append(" ".join(text(40) + (copy[20:60] if not k else copy) + text(40)))
+    handed, held = [], passages.held_against
+    monkeypatch.setattr(passages, "held_against", lambda rows, *a: handed.append(rows.count()) or held(rows, *a))
+    found = passages.repeated_passages(docs(spark, texts)).collect()
+    assert handed[-1] < len(texts)  # 2,000 and more where every two rows that have much in common go there
+    assert {r.class_id for r in found if r.doc_id > first} == {min(r.doc_id for r in found)} and {r.doc_id for r in found} >= set(range(first + 5, len(texts)))
+
+
+def test_no_pair_with_a_passage_in_its_surroundings_is_ruled_out():
+    draw = np.random.default_rng(22)
+    least, reach = passages.least_tokens(), passages.reach_of(passages.least_tokens())
+    grams = lambda w: passages.gram_hashes(np.array(w, np.uint64), passages.SHINGLE)
+    word, alike, seen = lambda n, most: draw.integers(1, most, n).tolist(), 0, []
+    for k in range(400):
+        most = 2**40 if k % 3 else 3  # words that repeat, too
+        core = word(int(draw.integers(50, 110)), most) if k % 5 else word(1, 2**40) * 55
+        near = list(core)
+        for at in draw.integers(0, len(core), int(draw.integers(0, 4))).tolist():
+            near[at : at + int(draw.integers(0, 2))] = word(int(draw.integers(0, 3)), most)
+        a, b = (grams(word(int(draw.integers(0, 200)), 2**40) + x + word(int(draw.integers(0, 200)), 2**40)) for x in (core, near))
+        common = [(i, j) for i, t in enumerate(a.tolist()) for j in np.flatnonzero(b == np.uint64(t))[:1].tolist()]
+        for i, j in common[:: max(1, len(common) // 4)]:
+            seen += [passages.around(a, i, reach), passages.around(b, j, reach)]
+    near = passages.Surroundings(np.stack(seen), least, passages.SIMILARITY)
+    x = np.arange(0, len(seen), 2)
+    kept = set(near.may_be_alike(x, x + 1).tolist())
+    for k in range(len(x)):
+        if near.passage(2 * k, 2 * k + 1):
+            alike += 1
+            assert k in kept
+    assert 300 < alike < len(x)
+
+
 # token store
 
 
