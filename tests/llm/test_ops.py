@@ -400,6 +400,23 @@ def test_no_pair_with_a_passage_in_its_surroundings_is_ruled_out():
     assert 300 < alike < len(x)
 
 
+def test_pairs_in_rounds_give_the_same(spark, monkeypatch):
+    """However many rounds the pairs are held against each other in, none takes along more than its share of the texts."""
+    draw = np.random.default_rng(23)
+    text = lambda n: [f"t{i}" for i in draw.integers(0, 10**9, n)]
+    kinds = [text(60) for _ in range(30)]
+    rows = docs(spark, [" ".join(sum((text(5) + kinds[k] for k in draw.choice(30, 4, replace=False)), [])) for _ in range(60)])
+    made, counted = [], passages.rounds_of
+    monkeypatch.setattr(passages, "rounds_of", lambda *a: made.append(counted(*a)) or made[-1])
+    results = []
+    for share in (100.0, 0.4):
+        monkeypatch.setattr(passages, "ROUND", share)
+        results.append(sorted(passages.repeated_passages(rows).collect()))
+        made.append(None)
+    assert results[0] == results[1] and len(results[0]) > 60
+    assert max(made[: made.index(None)]) == 1 and made[made.index(None) + 1] >= 3
+
+
 # token store
 
 
